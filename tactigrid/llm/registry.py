@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, fingerprint, lattice, mixing, urls
+from . import bpe, chat, egrid, fingerprint, language, lattice, licences, mixing, parity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +27,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; a row has one of doc_id and page_id."""
+    none = F.lit(None).cast("long")
+    docs = language.of_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("page_id", none)
+    pages = language.of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("doc_id", none)
+    return language.identify(docs.unionByName(pages), ["doc_id", "page_id"])
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -32,12 +42,32 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_records(chat.from_turns(rows), "conv_id"))
 
 
+def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egrid.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_lm_scoring, op2_document_fingerprints, op3_source_mixing, op5_chat_formatting, op8_url_filters)
+    found = (op1_lm_scoring, op2_document_fingerprints, op3_source_mixing, op4_language_id, op5_chat_formatting, op6_embedding_near_duplicates, op7_ngram_jaccard_join, op8_url_filters, op9_licence_scan, op10_byte_bpe, pipeline)
     return {f.__name__: f for f in found}
 
 

@@ -58,13 +58,13 @@ class Cascade:
     def places(key: Column, level: int, bits: int) -> list[Column]:
         """Bit places from two hashes; each level has its own."""
         a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-        return [F.pmod(a + b * i, F.lit(bits)) for i in range(HASHES)]
+        return [F.pmod(F.pmod(a, F.lit(bits)) + F.pmod(b, F.lit(bits)) * i, F.lit(bits)) for i in range(HASHES)]
 
     @classmethod
     def level(cls, keys: DataFrame, n: int, level: int) -> tuple[int, str]:
         bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
         places = keys.select(F.explode(F.array(*cls.places(F.col("key"), level, bits))).alias("p"))
-        words = places.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("x"))
+        words = places.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("x"))
         array = [0] * (bits // 64)
         for r in words.collect():  # the filter: bounded by FILTER_BYTES
             array[r["w"]] = r["x"]
