@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from .fingerprint import let
 
 FEATURES = 1 << 14
 #: Paragraphs of the corpus that stand for no licence, about, at most.
@@ -81,10 +81,9 @@ def words(p: Column) -> Column:
 
 
 def grams(w: Column) -> Column:
-    """The words, pairs and triples of neighbours."""
-    n = F.size(w)
-    row = lambda k: F.when(n >= k, F.transform(F.slice(w, 1, F.greatest(n - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, row(2))
+    """The words and the pairs of neighbours."""
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    return F.concat(w, pairs)
 
 
 def paragraphs(docs: DataFrame, key: str) -> DataFrame:
@@ -135,7 +134,7 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     negative = one.where(~cues).select(F.lit(NONE).alias("label"), F.left("line", F.lit(2000)).alias("line"), F.lit(False).alias("held"))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
     code = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
-    data = hashed.transform(made.unionByName(negative).select("label", "held", grams(words(F.col("line"))).alias("grams"), code.alias("code")))
+    data = hashed.transform(made.unionByName(negative).select("label", "held", let(words(F.col("line")), grams).alias("grams"), code.alias("code")))
     weight = F.when(F.col("label") == NONE, 0.2).otherwise(1.0)
     data = data.select("code", "held", "features", weight.alias("weight")).coalesce(4).cache()
     model = LogisticRegression(labelCol="code", featuresCol="features", weightCol="weight", regParam=1e-4, maxIter=40, family="multinomial", probabilityCol="p", rawPredictionCol="raw", predictionCol="guess").fit(data.where("not held"))
@@ -144,11 +143,14 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     level = min(0.9, right.agg(F.percentile("q", F.lit(0.1))).first()[0] or 0.5)
     data.unpersist()
 
-    x = lines.withColumn("w", words(F.col("line"))).select(key, "paragraph", "line", grams(F.col("w")).alias("grams"))
+    x = lines.select(key, "paragraph", "line", let(words(F.col("line")), grams).alias("grams"))
     x = model.transform(hashed.transform(x)).where("guess > 0").select(key, "paragraph", "line", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
-    x = x.withColumn("family", F.when(F.col("probability") >= level, F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1)).otherwise(OTHER)).withColumn("w", F.array_distinct(words(F.col("line"))))
-    match = F.lit(None).cast("double")
-    for family, part in overlaps(F.col("w")).items():
-        match = F.when(F.col("family") == family, part).otherwise(match)
-    x = x.withColumn("overlap", match)
+    x = x.withColumn("family", F.when(F.col("probability") >= level, F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1)).otherwise(OTHER))
+    def match(w: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for family, part in overlaps(w).items():
+            out = F.when(F.col("family") == family, part).otherwise(out)
+        return out
+
+    x = x.withColumn("overlap", let(words(F.col("line")), match))
     return x.select(key, "paragraph", "family", "probability", "overlap", F.coalesce(F.col("overlap") >= OVERLAP, F.lit(False)).alias("confirmed"))
