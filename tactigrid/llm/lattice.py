@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-#: A word is frequent if it makes up at least one in so many tokens: there are at most so many such words, at any size.
+#: So many words at most, the most frequent ones, are looked up in memory, at any size of the corpus; a join counts the others.
 FREQUENT = 131_072
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
@@ -37,6 +37,8 @@ DISCOUNT = 0.6
 CLASSES = 8
 #: Added to each piece's expected count.
 ALPHA = 0.05
+#: Bytes of a word from which it is scored alone.
+LONG = 48
 ZIPF_SHIFT = 50.0
 
 
@@ -47,49 +49,131 @@ def load_pieces(path: str) -> list[bytes]:
     return [base64.b64decode(a) for a, _ in sorted(pairs, key=lambda x: int(x[1]))]
 
 
+class Pieces:
+    """Ids of pieces by their 64-bit hashes: tables of slots, each holding what found no free slot in those before."""
+
+    def __init__(self, pieces: list[bytes]):
+        ends = np.cumsum([len(p) for p in pieces])
+        hashes = text.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+        self.hashes, self.tables = hashes, []
+        bits, rest = max(4, (16 * len(pieces)).bit_length()), np.arange(len(pieces))
+        while len(rest):
+            table, slots = np.full(1 << bits, -1, np.int32), self.slots(hashes[rest], bits, len(self.tables))
+            table[slots] = rest
+            rest = rest[table[slots] != rest]
+            self.tables.append((bits, table))
+
+    @staticmethod
+    def slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+        return ((h << np.uint64(7 * k)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The ids, -1 where there is no such piece."""
+        out = np.full(h.shape, -1, np.int32)
+        for k, (bits, table) in enumerate(self.tables):
+            got = table[self.slots(h, bits, k)]
+            hit = (got >= 0) & (self.hashes[got] == h)
+            out[hit] = got[hit]
+        return out
+
+
 class Lattice:
-    """Forward (and backward) sums over a word's segmentations."""
+    """Log-space forward and backward sums over the segmentations of words, for all words of one length at once."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.at = {p: (i, float(x)) for i, (p, x) in enumerate(zip(pieces, logp, strict=True))}
-        self.longest = max(map(len, pieces))
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, int, float]]]:
-        """For each end position the pieces that end there: start, id, log-probability."""
-        n, get, longest = len(word), self.at.get, self.longest
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if hit := get(word[i:j]):
-                    out[j].append((i, *hit))
+        self.pieces, self.logp, self.longest = Pieces(pieces), np.append(logp, -np.inf), max(map(len, pieces))
+
+    def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For words of one length: their places, their bytes' start in a buffer, and the buffer; long words come alone."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+        for same in np.split(order, cuts):
+            n = int(lengths[same[0]]) if len(same) else 0
+            step = max(1, 200_000 // max(1, n * n))
+            for i in range(0, len(same), step):
+                at = same[i : i + step]
+                yield at, n * np.arange(len(at)), np.frombuffer(b"".join([words[k] for k in at]), np.uint8)
+
+    def arcs(self, start: np.ndarray, n: int, buf: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each end j: the piece ids (words x starts i from max(0, j - longest)) and their log-probabilities."""
+        out = {}
+        for j in range(1, n + 1):
+            i = np.arange(max(0, j - self.longest), j)
+            begins = (start[:, None] + i).ravel()
+            ids = self.pieces.find(text.span_hashes(buf, begins, np.repeat(start + j, len(i)))).reshape(len(start), len(i))
+            out[j] = ids, self.logp[ids]
         return out
 
     @staticmethod
-    def forward(arcs: list[list[tuple[int, int, float]]]) -> list[float]:
-        """alpha[j]: log of the summed probability of all segmentations of the first j bytes."""
-        alpha, exp, log = [0.0], math.exp, math.log
-        for ending in arcs[1:]:
-            x = [alpha[i] + lp for i, _, lp in ending]
-            top = max(x)
-            alpha.append(top if len(x) == 1 else top + log(sum([exp(y - top) for y in x])))
+    def forward(arcs: dict[int, tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
+        """alpha[:, j]: log of the summed probability of all segmentations of the first j bytes."""
+        alpha = np.zeros((words, len(arcs) + 1))
+        for j, (ids, lp) in arcs.items():
+            alpha[:, j] = log_sum(alpha[:, j - ids.shape[1] : j] + lp)
         return alpha
 
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for at, start, buf in self.groups(words):
+            n = len(words[at[0]])
+            out[at] = self.forward(self.arcs(start, n, buf), len(at))[:, -1] if n <= LONG else [self.log_prob(words[k]) for k in at]
+        return out
+
     def log_prob(self, word: bytes) -> float:
-        return self.forward(self.arcs(word))[-1]
-
-    def expected(self, word: bytes, weight: float, into: np.ndarray) -> None:
-        """Adds each piece's expected number of uses, times weight."""
-        arcs = self.arcs(word)
-        alpha = self.forward(arcs)
-        total, beta = alpha[-1], [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        for j in range(len(alpha) - 1, 0, -1):
-            if (b := beta[j]) == -math.inf:
+        """The same for one word of any length, in memory that grows with it only linearly."""
+        buf, n, alpha = np.frombuffer(word, np.uint8), len(word), np.zeros(len(word) + 1)
+        for j in range(1, n + 1):
+            i = np.arange(max(0, j - self.longest), j)
+            alpha[j] = log_sum(alpha[None, i] + self.logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
+        return float(alpha[-1])
+
+    @staticmethod
+    def sums(word: bytes, buf: np.ndarray, i: np.ndarray, j: int) -> np.ndarray:
+        return text.span_hashes(buf[i[0] : j], i - i[0], np.full(len(i), j - i[0]))
+
+    def expected(self, words: list[bytes], into: np.ndarray) -> None:
+        """Adds each piece's expected number of uses in one copy of each word."""
+        for at, start, buf in self.groups(words):
+            n = len(words[at[0]])
+            if n > LONG:
+                for k in at:
+                    self.expected_long(words[k], into)
                 continue
-            for i, k, lp in arcs[j]:
-                into[k] += weight * math.exp(alpha[i] + lp + b - total)
-                x, y = beta[i], lp + b
-                beta[i] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+            arcs = self.arcs(start, n, buf)
+            alpha = self.forward(arcs, len(at))
+            beta = np.full_like(alpha, -np.inf)
+            beta[:, n] = 0.0
+            for j in range(n, 0, -1):
+                ids, lp = arcs[j]
+                through = lp + beta[:, j : j + 1]
+                i = j - ids.shape[1]
+                self.tally(into, ids, np.exp(alpha[:, i:j] + through - alpha[:, -1:]))
+                beta[:, i:j] = np.logaddexp(beta[:, i:j], through)
+
+    @staticmethod
+    def tally(into: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        hit = ids >= 0
+        into += np.bincount(ids[hit], x[hit], minlength=len(into))
+
+    def expected_long(self, word: bytes, into: np.ndarray) -> None:
+        buf, n = np.frombuffer(word, np.uint8), len(word)
+        spans = [np.arange(max(0, j - self.longest), j) for j in range(1, n + 1)]
+        alpha, beta = np.zeros(n + 1), np.full(n + 1, -np.inf)
+        for j, i in enumerate(spans, 1):
+            alpha[j] = log_sum(alpha[None, i] + self.logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
+        beta[n] = 0.0
+        for j in range(n, 0, -1):
+            i = spans[j - 1]
+            ids = self.pieces.find(self.sums(word, buf, i, j))
+            through = self.logp[ids] + beta[j]
+            self.tally(into, ids, np.exp(alpha[i] + through - alpha[n]))
+            beta[i] = np.logaddexp(beta[i], through)
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
 def word_counts(docs: DataFrame, classes: int) -> DataFrame:
@@ -138,8 +222,7 @@ def train(words: DataFrame, pieces: list[bytes], iterations: int = ITERATIONS) -
         def expect(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             lattice, into = Lattice(*model.value), np.zeros(k)
             for b in batches:
-                for w in b["word"]:
-                    lattice.expected(b" " + bytes(w), 1.0, into)
+                lattice.expected([b" " + bytes(w) for w in b["word"]], into)
             at = np.flatnonzero(into)
             yield pd.DataFrame({"piece": at, "x": into[at]})
 
@@ -177,8 +260,8 @@ def score(docs: DataFrame, vocabulary: str, iterations: int = ITERATIONS, freque
     counts = store.table(word_counts(docs, k_all), "lm-counts")
     seen = lambda c: F.count(F.when(c > 0, 1))
     each = [x for k in range(k_all) for x in (F.sum(F.col("by")[k]).alias(f"s{k}"), seen(F.col("by")[k]).alias(f"v{k}"))]
-    totals = counts.agg(F.sum("c").alias("s"), seen(F.col("c")).alias("v"), F.sum("n").alias("n"), *each).first()
-    n_train, v, n_all = (totals["s"] or 0) + ends, (totals["v"] or 0) + (ends > 0), totals["n"] or 0
+    totals = counts.agg(F.sum("c").alias("s"), seen(F.col("c")).alias("v"), *each).first()
+    n_train, v = (totals["s"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
     logp, end_lp = train(counts, pieces, iterations)
 
     log_norm = math.log10(n_train + 0.5 * (v + 1))
@@ -194,7 +277,7 @@ def score(docs: DataFrame, vocabulary: str, iterations: int = ITERATIONS, freque
         lattice = Lattice(*model.value)
         for b in batches:
             c, by = b["c"].to_numpy(float), np.array(b["by"].tolist(), float).reshape(len(b), k_all)
-            log_lattice = np.array([lattice.log_prob(b" " + bytes(w)) for w in b["word"]])
+            log_lattice = lattice.log_probs([b" " + bytes(w) for w in b["word"]])
             p = interpolated(c, n_train, v, np.exp(np.maximum(log_lattice, -600)))
             p_by = [interpolated(by[:, k], *sizes[k], p) for k in range(k_all)]
             lp = np.log10(np.column_stack(p_by))
@@ -207,7 +290,10 @@ def score(docs: DataFrame, vocabulary: str, iterations: int = ITERATIONS, freque
     prior = [math.log10((ends_by.get(k, 0) + 0.5) / (ends + 0.5 * k_all)) for k in range(k_all)]
     end_by = [float(np.log10(interpolated(np.array([ends_by.get(k, 0)]), *sizes[k], end_p))[0]) + prior[k] for k in range(k_all)]
 
-    often = F.col("n") * frequent >= n_all
+    level = F.floor(F.log2("n") * 8)  # at most 512 levels
+    levels = sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True)
+    fit = [k for k, total in zip([x[0] for x in levels], np.cumsum([x[1] for x in levels]), strict=True) if total <= frequent]
+    often = level >= (fit[-1] if fit else 1 << 30)
     top = words.where(often).toPandas()
     matrix = np.column_stack([top["c"] > 0, top["base"], np.array(top["lp"].tolist(), float).reshape(len(top), k_all)]) if len(top) else np.zeros((0, 2 + k_all))
     shared = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, matrix))
