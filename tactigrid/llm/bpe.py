@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from . import text
 
 #: Keys of a bucket of the perfect hash, on average.
 PER_BUCKET = 3
-#: Results of tier 2 that a task keeps.
-KEPT = 200_000
+#: Results of tier 2 that a worker keeps (about 200 bytes each).
+KEPT = 1_000_000
 #: Code points that are encoded at once.
 STEP = 200_000
 
@@ -98,24 +99,27 @@ class Encoder:
         ends = np.cumsum([len(t) for t in tokens])
         self.table = PerfectHash(text.span_hashes(np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], ends[:-1])), ends))
         self.bytes_of = np.array([*tokens, None], object)[:-1]
-        self.kept: dict[bytes, np.ndarray] = {}
-
-    def missed(self, token: bytes) -> np.ndarray:
-        if (ids := self.kept.get(token)) is None:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            ids = np.array(merge(token, self.ranks), np.int32)
-            if len(token) < 200:
-                self.kept[token] = ids
+        self.kept: dict[bytes, bytes] = {}
+
+    def missed(self, token: bytes) -> bytes:
+        """The ids of a pre-token that is no entry of the vocabulary, as 32-bit integers."""
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        ids = np.array(merge(token, self.ranks), np.int32).tobytes()
+        if len(token) < 64:
+            self.kept[token] = ids
         return ids
 
     def pieces(self, s: str) -> Iterator[tuple[list[str], bytes]]:
         """Runs of pre-tokens and their bytes; a text without a match of the pattern for some characters leaves those out."""
-        found: list[str] = []
-        size = 0
-        for m in self.pattern.findall(s) if len(s) <= STEP else (m.group() for m in self.pattern.finditer(s)):
-            found.append(m)
-            size += len(m)
+        if len(s) <= STEP:
+            found = self.pattern.findall(s)
+            yield found, "".join(found).encode("utf-8", "surrogatepass")
+            return
+        found, size = [], 0
+        for m in self.pattern.finditer(s):
+            found.append(m.group())
+            size += len(found[-1])
             if size >= STEP:
                 yield found, "".join(found).encode("utf-8", "surrogatepass")
                 found, size = [], 0
@@ -136,17 +140,24 @@ class Encoder:
         miss = np.flatnonzero(ids < 0)
         if not len(miss):
             return ids
-        more = [self.missed(data[i:j]) for i, j in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
+        kept, missed = self.kept.get, self.missed
+        more = [kept(t := data[i:j]) or missed(t) for i, j in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
         count = np.ones(len(ids), np.int64)
-        count[miss] = [len(x) for x in more]
+        count[miss] = np.fromiter(map(len, more), np.int64, len(more)) // 4
         out = np.repeat(ids, count)
-        out[np.repeat(ids < 0, count)] = np.concatenate(more)
+        out[np.repeat(ids < 0, count)] = np.frombuffer(b"".join(more), np.int32)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.bytes_of[ids].tolist())
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokens: tuple[bytes, ...], pattern: str) -> Encoder:
+    """A worker's encoder; a task finds what tier 2 gave in the worker's tasks before."""
+    return Encoder(list(tokens), pattern)
+
+
 def encoded(docs: DataFrame, ranks: str, pattern: str, ids: bool = False) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array<int>) if asked for.
 
@@ -154,10 +165,10 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, ids: bool = False) -> Dat
     runs of pre-tokens. Repeated rows and null ids keep their rows. Further columns are ignored; an
     empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(load_ranks(ranks)), pattern))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(*shared.value)
         names = np.array([str(i) for i in range(len(encoder.tokens))] + [None], object)[:-1]
         for b in batches:
             for first in range(0, len(b), 1000):
