@@ -129,7 +129,7 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     # Of the documents, not the paragraphs, a part is read; a notice in it would teach the wrong label.
     n = docs.count()
     few = docs if n <= sample else docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    one = few.select(F.element_at(F.filter(F.split("text", r"[\n\r]+"), lambda s: F.btrim(s) != ""), -1).alias("line")).where("line is not null")
+    one = few.select(F.try_element_at(F.filter(F.split("text", r"[\n\r]+"), lambda s: F.btrim(s) != ""), F.lit(-1)).alias("line")).where("line is not null")
     cues = F.col("line").rlike(r"(?i)\blicen[sc]e|copyright|all rights reserved|public domain|\bGPL\b|\bMIT\b|creative commons")
     negative = one.where(~cues).select(F.lit(NONE).alias("label"), F.left("line", F.lit(2000)).alias("line"), F.lit(False).alias("held"))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
