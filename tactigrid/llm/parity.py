@@ -88,7 +88,8 @@ def sketch(h: np.ndarray) -> tuple[list[np.ndarray], int]:
                 keys = text.mix(parity ^ text.mix(part[first], 10 * k + deal + 500), 7)
             out.append(keys)
             if len(keys) >= least:
-                spare = min(spare, len(keys) - least)
+                # A partner may stop at an earlier deal and share no key of the later ones: then nothing may be left out.
+                spare = min(spare, len(keys) - least) if deal == 0 else 0
                 break
     return out, spare
 
