@@ -13,8 +13,9 @@ that has more than D light keys, for the argument holds for these alone. The oth
 whose shingles are in many sets, keep the D + 1 rarest of their keys (prefix filter: of the keys that
 two linked sets share, the rarest has at most D rarer ones in either). Keys of up to MIDDLE sets give
 all pairs; in larger ones sets are compared with pivots, one after another, those with the most heavy
-keys first, and what has then linked to none meets, in blocks, all sets of the key that are not in its
-component, of which only those pass that a sketch of FOLD words allows.
+keys first; then each set outside the key's most frequent component, linked or not, meets, in blocks,
+all sets of the key that are not in its component, of which only those pass that a sketch of FOLD
+words allows.
 
 Candidates are first compared by a bit sketch (each shingle flips one bit), whose Hamming distance
 is at most the symmetric difference; wider sketches fold to narrower ones. What passes is verified
@@ -334,12 +335,15 @@ def links(docs: DataFrame, found: DataFrame, k: int, light: int = LIGHT, middle:
                 break
         joined = store.table(graph.components(edges), "parity-joined")
         words = [F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)]
-        big = big.join(spread(joined), "node", "left").withColumn("component", F.coalesce("component", "node")).join(per_node.select("node", "n_shingles", *words), "node")
+        big = big.select("key", "node", "n").join(spread(joined), "node", "left").withColumn("component", F.coalesce("component", "node")).join(per_node.select("node", "n_shingles", *words), "node")
         big = store.table(big, "parity-blocks")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         side = lambda x, t: [F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FOLD)]]
-        rest = big.where("not linked").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *side("a", "s"))
-        every = big.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("b", "t"))
+        # Two sets of different components are not both in the most frequent one; a key of one component has no rest.
+        main = big.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+        rest = store.table(big.join(main, "key").where("component != main").drop("main"), "parity-rest")
+        every = big.join(spread(rest.select("key").distinct()), "key", "left_semi").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *side("b", "t"))
+        rest = rest.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("a", "s"))
         apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(FOLD)), F.lit(0))
         near = (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb"))
         pairs = rest.join(every, ["key", "block"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

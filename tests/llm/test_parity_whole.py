@@ -18,3 +18,16 @@ def test_a_set_that_goes_past_the_first_deal_keeps_its_heavy_keys(spark):
     # All shingles of these seven words fall into one part of the first deal.
     short = " ".join(f"g130w{j}" for j in range(7))
     assert not wrong(spark, [(0, short)] + [(1 + i, f"{short} e{i}") for i in range(18)])
+
+
+def test_sets_linked_to_different_pivots_meet(spark):
+    rows = []
+    for f in (6, 122, 140):
+        r = random.Random(f)
+        size = r.choice((9, 12, 16, 24))
+        for i in range(24):
+            t = [f"f{f}w{j}" for j in range(size)] + [f"f{f}{c}{r.randint(0, 2)}" for c in "abc"[: r.randint(0, 3)]]
+            if r.random() < 0.5:
+                t = [f"f{f}h{r.randint(0, 2)}", *t]
+            rows.append((f * 100 + i, " ".join(t)))
+    assert not wrong(spark, rows, 2, 3, 2)
