@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from . import store, text
 
 BUCKETS = 1 << 15
-#: Labelled rows that the trigram model is fitted on, at most (about).
+#: Values of the hash that draws the sample.
+SPACE = 1 << 40
+#: Labelled rows that the trigram model is fitted on, at most (about), but for EACH rows of each language.
 SAMPLE = 20_000
-LANGUAGES = 16
-#: A language needs so many rows of the sample.
+EACH = 100
+#: A language needs so many labelled rows.
 LEAST = 5
 #: Weight of a trigram's log-likelihood, and trigrams that count at most.
 TEMPER, MOST = 0.33, 600
@@ -62,23 +64,37 @@ def markup_text(html: Column) -> Column:
     return F.regexp_replace(s, r"<[^>]*>|&[a-zA-Z]+;|&#\d+;", " ")
 
 
-def fit(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
-    """The languages and the log-probabilities (buckets x languages), from about sample labelled rows."""
-    labelled = rows.where("declared is not null and text is not null and text != ''")
-    total = labelled.count()
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / total))
-    found = labelled.groupBy("declared").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
+def level(counts: list[int], sample: int) -> int:
+    """The most rows of a language, so that all languages together give about sample rows, and each EACH if it has them."""
+    left = sample
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(share, EACH)
+        left -= n
+    return max(sample, EACH)
+
+
+def fit(rows: DataFrame, id_columns: list[str], sample: int) -> tuple[list[str], np.ndarray]:
+    """The languages, which are all of LEAST labelled rows, and the log-probabilities (buckets x languages), from a sample of each."""
+    labelled = rows.where("declared is not null and text is not null and text != ''").withColumn("at", F.pmod(F.xxhash64("text", *id_columns), F.lit(SPACE)))
+    found = labelled.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where(F.col("n") >= LEAST).collect()
     names = sorted(r["declared"] for r in found) or ["und"]
+    place = {name: i for i, name in enumerate(names)}
+    most = level([r["n"] for r in found], sample)
+    # The row of the least hash is in any sample.
+    cuts = rows.sparkSession.createDataFrame([(r["declared"], max(r["first"], SPACE * most // r["n"])) for r in found], "declared string, cut long")
+    labelled = labelled.join(F.broadcast(cuts), "declared").where("at <= cut")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = np.zeros((len(names), BUCKETS))
+        seen: dict[str, np.ndarray] = {}
         for b in batches:
             for d, t in zip(b["declared"], b["text"], strict=True):
-                if d in names:
-                    x[names.index(d)] += np.bincount(trigrams(t), minlength=BUCKETS)
-        i, j = np.nonzero(x)
-        yield pd.DataFrame({"i": i, "j": j, "n": x[i, j]})
+                n = np.bincount(trigrams(t), minlength=BUCKETS)
+                seen[d] = seen[d] + n if d in seen else n
+        for d, n in seen.items():
+            j = np.flatnonzero(n)
+            yield pd.DataFrame({"i": np.full(len(j), place[d]), "j": j, "n": n[j].astype(float)})
 
     got = labelled.select("declared", "text").mapInPandas(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     x = np.full((BUCKETS, len(names)), 0.05)
@@ -99,7 +115,7 @@ def identify(rows: DataFrame, id_columns: list[str], sample: int = SAMPLE) -> Da
     keep their rows. Further columns are ignored; an empty table gives an empty table.
     """
     rows = rows.select(*id_columns, "text", base_language(F.col("declared")).alias("declared"), F.nullif(F.lower("suffix"), F.lit("")).alias("suffix"), F.nullif(F.lower("host"), F.lit("")).alias("host"))
-    names, logp = fit(rows, sample)
+    names, logp = fit(rows, id_columns, sample)
     n = len(names)
     model = rows.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
     chance = -np.log(BUCKETS)
@@ -126,28 +142,39 @@ def identify(rows: DataFrame, id_columns: list[str], sample: int = SAMPLE) -> Da
     best = F.array_position("ll", F.array_max("ll")).cast("int") - 1
     x = x.withColumn("best", best).withColumn("domain", F.regexp_replace("host", r"^[^.]*\.(?=.*\.)", ""))
     sure = x.where("likely")
-    count = [F.sum((F.col("best") == k).cast("double")).alias(f"c{k}") for k in range(n)]
-    whole = sure.agg(*count).first()
-    prior = [((whole[k] or 0.0) + 1) / (sum(v or 0.0 for v in whole) + n) for k in range(n)]
+    order = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def counted(*by: str) -> DataFrame:
+        """by and c, an array of the rows by best language; the plan does not grow with the number of languages."""
+        seen = sure.where(F.col(by[0]).isNotNull()).groupBy(*by, "best").count()
+        seen = seen.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", F.col("count").cast("double")))).alias("m"))
+        return seen.select(*by, F.transform(order, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("c"))
+
+    whole = {r["best"]: float(r["count"]) for r in sure.groupBy("best").count().collect()}
+    prior = [(whole.get(k, 0.0) + 1) / (sum(whole.values()) + n) for k in range(n)]
 
     def likelihood(column: str) -> DataFrame:
         """log P(value | language) as an array by value, add-one smoothed over the values seen and one more."""
-        seen = sure.where(F.col(column).isNotNull()).groupBy(column).agg(*count)
-        sums = seen.agg(*[F.sum(f"c{k}") for k in range(n)], F.count(F.lit(1))).first()
-        return seen.select(column, F.array(*[F.log((F.col(f"c{k}") + 1) / ((sums[k] or 0.0) + sums[n] + 1)) for k in range(n)]).alias(f"p_{column}"))
-
-    def smoothed(c: list[Column], below: list[Column]) -> list[Column]:
-        total = sum(c[1:], c[0])
-        return [(c[k] + STRENGTH * below[k]) / (total + STRENGTH) for k in range(n)]
-
-    every = [F.lit(p) for p in prior]
-    by_domain = sure.where("domain is not null").groupBy("domain").agg(*count)
-    by_domain = by_domain.select("domain", F.array(*smoothed([F.col(f"c{k}") for k in range(n)], every)).alias("d"))
-    by_host = sure.where("host is not null").groupBy("host", "domain").agg(*count).join(spread(by_domain), "domain")
-    by_host = by_host.select("host", F.array(*[F.log(p) for p in smoothed([F.col(f"c{k}") for k in range(n)], [F.col("d")[k] for k in range(n)])]).alias("p_host"))
+        seen = store.table(counted(column), f"language-{column}-counts")
+        values = seen.count()
+        sums = {r["best"]: float(r["count"]) for r in sure.where(F.col(column).isNotNull()).groupBy("best").count().collect()}
+        below = F.array(*[F.lit(sums.get(k, 0.0) + values + 1) for k in range(n)])
+        return seen.select(column, F.zip_with("c", below, lambda a, b: F.log((a + 1) / b)).alias(f"p_{column}"))
+
+    def smoothed(c: Column, below: Column) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+        return F.zip_with(c, below, lambda a, b: (a + STRENGTH * b) / (total + STRENGTH))
+
+    every = F.array(*map(F.lit, prior))
+    by_domain = counted("domain").select("domain", smoothed(F.col("c"), every).alias("d"))
+    by_host = counted("host", "domain").join(spread(by_domain), "domain")
+    by_host = by_host.select("host", F.transform(smoothed(F.col("c"), F.col("d")), lambda p: F.log(p)).alias("p_host"))
     for side, key in ((likelihood("declared"), "declared"), (likelihood("suffix"), "suffix"), (by_host, "host")):
         x = x.join(spread(store.table(side, f"language-{key}")), key, "left")
-    logs = F.array(*[F.col("ll")[k] + F.coalesce(F.col("p_host")[k], F.lit(float(np.log(prior[k])))) + F.coalesce(F.col("p_declared")[k], F.lit(0.0)) + F.coalesce(F.col("p_suffix")[k], F.lit(0.0)) for k in range(n)])
+    logs = F.coalesce("p_host", F.array(*[F.lit(float(np.log(p))) for p in prior]))
+    none = F.array_repeat(F.lit(0.0), n)
+    for part in (F.col("ll"), F.coalesce("p_declared", none), F.coalesce("p_suffix", none)):
+        logs = F.zip_with(logs, part, lambda a, b: a + b)
     x = x.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     x = x.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda s, y: s + F.exp(y - F.col("top"))))
     x = x.withColumn("kept", F.col("likely") & (F.col("posterior") >= POSTERIOR))
