@@ -9,37 +9,52 @@ from pyspark.sql import functions as F
 from tactigrid.llm import bpe, language, mixing, parity, store
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Ids that are sent to every task, at most; more are joined by a shuffle.
+#: Row numbers that are sent to every task, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+ROW = "pipeline_row"
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids (a table of one column, doc_id)."""
-    ids = store.table(ids.withColumnRenamed("doc_id", "gone").distinct(), "pipeline-gone")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written with it, for a doc_id may be null or stand in several rows."""
+    return store.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Numbered docs without these rows (a table of one column, their numbers); the numbers are dropped."""
+    rows = store.table(rows, "pipeline-gone")
+    side = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return docs.join(side, ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
-    return without(docs, language.identify(language.of_documents(docs), ["doc_id"]).where("not kept").select("doc_id"))
+    kept = docs.columns
+    docs = numbered(docs)
+    found = language.identify(language.of_documents(docs.withColumn("doc_id", F.col(ROW))), ["doc_id"])
+    return without(docs, found.where("not kept").select(F.col("doc_id").alias(ROW))).select(kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the smallest doc_id; of repeated rows one."""
-    found = store.table(parity.classes(docs), "pipeline-classes")
-    left = without(docs, found.where("not (doc_id <=> component_id)").select("doc_id"))
-    again = store.table(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
-    if again.limit(1).count() == 0:
-        return left
-    twice = left.join(again.withColumnRenamed("doc_id", "id"), left["doc_id"].eqNullSafe(F.col("id"))).drop("id")
-    return without(left, again).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    """One row of each class of near duplicates, that of the smallest doc_id (a null one is the last); of repeated rows one."""
+    kept = docs.columns
+    docs = numbered(docs)
+    found = store.table(parity.classes(docs.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id"), "pipeline-classes")
+    # A text without words is in no class; such rows repeat each other if doc_id and text are the same.
+    blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("blank")
+    x = found.join(docs.select(ROW, F.col("doc_id").alias("id"), blank), ROW)
+    empty = F.col("n_shingles") == 0
+    group = [empty, F.when(~empty, F.col("component_id")), F.when(empty, F.col("id")), F.when(empty, F.col("blank"))]
+    group = [c.alias(f"g{i}") for i, c in enumerate(group)]
+    stays = x.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW))[ROW].alias(ROW))
+    return without(docs, found.select(ROW).join(stays, ROW, "left_anti")).select(kept)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as it is taken whole, and once more the words that are taken besides."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "times", "extra_from", "extra")
-    x = docs.join(taken.dropDuplicates(["id"]), docs["doc_id"].eqNullSafe(F.col("id")))
+    kept, kind = docs.columns, dict(docs.dtypes)["n_chars"]
+    docs = numbered(docs)
+    taken = mixing.mix(docs, keep=(ROW,)).where("taken > 0").select(ROW, "size", "times", "extra_from", "extra")
+    x = docs.join(taken, ROW)
     copies = F.col("times") + (F.col("extra") > 0).cast("int")
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
@@ -48,7 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     around = (F.col("extra") - (end - begin)).cast("int")
     part = F.array_join(F.concat(F.slice(words, begin + 1, end - begin), F.slice(words, F.lit(1), around)), " ")
     whole = (F.col("copy") <= F.col("times")) | (F.col("extra") >= F.col("size"))
-    return x.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    return x.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast(kind)).select(kept)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

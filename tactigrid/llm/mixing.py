@@ -67,17 +67,17 @@ def apportion(claims: DataFrame, group: list[str], seats: Column, order: list) -
     return tried.groupBy(*claims.columns).agg((F.first("sure") + F.sum(F.col("won").cast("long"))).alias("quota"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, times, extra_from, extra.
 
     The mix takes all the row's words times times, and extra words from the extra_from-th on (around
-    its end) once more. A null text has no words and is taken 0 times; a null source is one more
+    its end) once more. Columns of keep come too. A null text has no words and is taken 0 times; a null source is one more
     source, the last. A repeated row is laid on the line as often as it stands there. Further columns
     are ignored; an empty table gives an empty table. Reruns agree: order and places come from hashes
     of (seed, doc_id, text), and rows that tie are alike. Only ids and sizes are shuffled.
     """
     place = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sized = store.table(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place.alias("place")), "mix-sizes")
+    sized = store.table(docs.select("doc_id", "source", words(F.col("text")).alias("size"), place.alias("place"), *keep), "mix-sizes")
     goal = store.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     few = goal.count() <= BROADCAST_ROWS
     small = (F.broadcast(goal) if few else goal).withColumnRenamed("source", "s")
@@ -104,4 +104,4 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHAR
     around = overlap(F.lit(0), stop - F.ceil(F.col("line") / block) * block)
     x = x.withColumn("extra", F.coalesce(first + around, F.lit(0))).withColumn("extra_from", F.when(first > 0, F.greatest(F.lit(0), F.col("from") - F.col("begin"))).otherwise(F.lit(0)))
     x = x.withColumn("taken", (F.col("size") * F.coalesce("times", F.lit(0)) + F.col("extra")).cast("long"))
-    return x.select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce("times", F.lit(0)).alias("times"), "extra_from", "extra")
+    return x.select("doc_id", "source", "size", "source_size", "target", "taken", F.coalesce("times", F.lit(0)).alias("times"), "extra_from", "extra", *keep)
