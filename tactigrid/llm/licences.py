@@ -1,6 +1,6 @@
 """Licence scans with a trained paragraph classifier, with DataFrame functions and Spark ML only.
 
-Paragraphs (lines) become sparse vectors of hashed word n-grams; multinomial logistic regression
+Paragraphs (between blank lines, their line ends folded) and the lines of those that have several become sparse vectors of hashed word n-grams; multinomial logistic regression
 gives a probability for each licence family, for other licences and for no licence. It is fitted on
 the notices below, cut and reworded by rule, and on a bounded sample of the corpus's own paragraphs
 as examples of no licence. A family's probability must reach a level that held-out wordings set;
@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fingerprint import let
@@ -87,9 +88,13 @@ def grams(w: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, key: str) -> DataFrame:
-    """(key, paragraph number, its text) of all lines that hold anything."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[\n\r]+")).alias("paragraph", "line"))
-    return lines.where(F.btrim("line") != "")
+    """(key, row, paragraph number, line number, text) of all paragraphs that hold anything, whose line number is null, and of the lines of those of several."""
+    x = docs.select(key, F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n|\r\s*\r")).alias("paragraph", "block"))
+    x = x.where(F.btrim("block", F.lit(" \t\r\n\f\x0b")) != "")
+    lines = F.split(F.btrim("block", F.lit(" \t\r\n\f\x0b")), r"[\n\r]+")
+    units = let(lines, lambda a: F.when(F.size(a) > 1, F.concat(F.array(F.array_join(a, " ")), a)).otherwise(a))
+    x = x.select(key, "row", "paragraph", F.posexplode(units).alias("unit", "line"))
+    return x.where(F.btrim("line") != "").select(key, "row", "paragraph", F.when(F.col("unit") > 0, F.col("unit") - 1).alias("line_number"), "line")
 
 
 def overlaps(w: Column) -> dict[str, Column]:
@@ -115,7 +120,11 @@ def examples(spark) -> list[tuple[str, str, bool]]:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """A row for each licence paragraph of docs (key, text): key, paragraph (from 0), family, probability, overlap, confirmed.
+    """A row for each licence paragraph of docs (key, text): key, paragraph (from 0), line, family, probability, overlap, confirmed.
+
+    A paragraph ends at a blank line and is read as a whole (line is null). A line of it (from 0) comes
+    besides if it is of another family and no piece of the paragraph's notice, and instead if the paragraph as a whole is no licence
+    or less sure.
 
     family is "unknown" for a licence of no known family or of too low a probability; then overlap is
     null and confirmed false. Null and empty texts have no paragraphs; a paragraph of any length is
@@ -143,8 +152,9 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     level = min(0.9, right.agg(F.percentile("q", F.lit(0.1))).first()[0] or 0.5)
     data.unpersist()
 
-    x = lines.select(key, "paragraph", "line", let(words(F.col("line")), grams).alias("grams"))
-    x = model.transform(hashed.transform(x)).where("guess > 0").select(key, "paragraph", "line", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
+    named = [key, "row", "paragraph", "line_number"]
+    x = lines.select(*named, "line", let(words(F.col("line")), grams).alias("grams"))
+    x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "line", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
     x = x.withColumn("family", F.when(F.col("probability") >= level, F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1)).otherwise(OTHER))
     def match(w: Column) -> Column:
         out = F.lit(None).cast("double")
@@ -153,4 +163,16 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
         return out
 
     x = x.withColumn("overlap", let(words(F.col("line")), match))
-    return x.select(key, "paragraph", "family", "probability", "overlap", F.coalesce(F.col("overlap") >= OVERLAP, F.lit(False)).alias("confirmed"))
+    x = x.withColumn("confirmed", F.coalesce(F.col("overlap") >= OVERLAP, F.lit(False)))
+    sure = F.when(F.col("confirmed"), 2).when(F.col("probability") >= level, 1).otherwise(0)
+    x = x.select(*named, "family", "probability", "overlap", "confirmed", sure.alias("sure"), "guess", "line")
+    of = W.partitionBy("row", "paragraph")
+    whole = F.col("line_number").isNull()
+    x = x.withColumn("whole", F.max(F.when(whole, F.struct("sure", "family", "guess"))).over(of)).withColumn("best", F.max(F.when(~whole, F.col("sure"))).over(of))
+    # An unsure line is a piece of the paragraph's notice if most of its words are those of the family's notices.
+    own = F.array(*[F.array_distinct(words(F.lit(" ".join(notices)))) for notices in [*NOTICES.values(), OTHERS]])
+    piece = let(F.array_distinct(words(F.col("line"))), lambda w: F.size(F.array_intersect(w, F.get(own, F.col("whole.guess") - 1))) >= OVERLAP * F.size(w))
+    other = (F.col("family") != F.col("whole.family")) & ((F.col("sure") > 0) | ~piece)
+    apart = F.col("whole").isNull() | (F.col("sure") > F.col("whole.sure")) | other
+    x = x.where(F.when(whole, F.coalesce(F.col("best") <= F.col("sure"), F.lit(True))).otherwise(apart))
+    return x.select(key, "paragraph", F.col("line_number").alias("line"), "family", "probability", "overlap", "confirmed")
