@@ -182,24 +182,27 @@ def linked(points: DataFrame, d: int, cosine: float) -> DataFrame:
 def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """A row for each row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-    do vectors of another length than the most frequent. Repeated rows keep their rows and link with
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
+    vectors of different lengths do not link with each other. Repeated rows keep their rows and link with
     each other, as any equal vectors do. A null vec_id's component is null where no other is
     reachable. Further columns are ignored; an empty table gives an empty table.
     """
     rows = vectors.select("vec_id", "embedding", usable().alias("good"))
-    sizes = rows.where("good").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    sizes = [r["d"] for r in rows.where("good").groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
     alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
+    if not sizes:
         return alone(rows)
-    fits = F.col("good") & (F.size("embedding") == sizes["d"])
-    same = rows.where(fits).groupBy("embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    same = rows.where("good").groupBy("embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     same = store.table(same.withColumn("node", F.monotonically_increasing_id()), "egrid-nodes")
-    got = store.table(linked(same.select("node", F.col("embedding").alias("v"), "copies"), sizes["d"], cosine), "egrid-links")
+    got = None
+    for d in sizes:
+        x = same.where(F.size("embedding") == d).select("node", F.col("embedding").alias("v"), "copies")
+        x = store.table(linked(x, d, cosine), "egrid-links")
+        got = x if got is None else got.unionAll(x)
     joined = graph.components(got.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = got.groupBy("node").agg(F.sum("links").alias("links"))
     base = same.join(joined, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = base.groupBy("component").agg(F.min("least").alias("component_id"))
     base = store.table(base.join(named, "component").select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "egrid-classes")
-    full = rows.where(fits).join(base, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    return full.unionAll(alone(rows.where(~F.coalesce(fits, F.lit(False)))))
+    full = rows.where("good").join(base, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return full.unionAll(alone(rows.where("not good")))
