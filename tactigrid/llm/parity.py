@@ -1,26 +1,26 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the hashes of its distinct shingles. A size band deals shingles to parts by
-hash; the XOR of a part's shingles is its parity. Two sets that differ in d shingles differ in d
-parts at most, and sets with a Jaccard similarity of 3/4 or more differ in a third of the smaller
-one's size D at most; so if a set has more than D filled parts, one of them has the same parity in
-both (pigeonhole), and joining on (band, part, parity) finds the pair. A set also joins the next
-band's sketches if a partner may be there. A set with too few filled parts also joins by further
-deals, the last of which has a part for each shingle.
-
-Keys of few sets ("light") give all their pairs. Keys of more ("heavy") are left out for every set
-that has more than D light keys, for the argument holds for these alone. The others, nearly all of
-whose shingles are in many sets, keep the D + 1 rarest of their keys (prefix filter: of the keys that
-two linked sets share, the rarest has at most D rarer ones in either). Keys of up to MIDDLE sets give
-all pairs; in larger ones sets are compared with pivots, one after another, those with the most heavy
-keys first; then each set outside the key's most frequent component, linked or not, meets, in blocks,
-all sets of the key that are not in its component, of which only those pass that a sketch of FOLD
-words allows.
+A document's set holds its distinct shingles, by 64-bit hashes. A size band deals shingles to parts
+by hash; the XOR of a part's shingles is its parity. Two sets that differ in d shingles differ in d
+parts at most, and sets with a Jaccard similarity of 3/4 or more differ in a third of a set's size D
+at most; so if a set has more than D filled parts, one of them has the same parity in both
+(pigeonhole), and joining on (band, part, parity) finds the pair. A set also joins the next band's
+sketches if a partner may be there. A set with too few filled parts also joins by further deals, the
+last of which has a part for each shingle.
+
+Of a deal's keys a set sends the D + 1 that come first in one order of all keys: the first key that
+two linked sets share has at most D before it in either. The order begins with the keys of rare
+shingles, by a count of all shingles in COUNTERS buckets, so a passage or a copy that many documents
+share is a key of those sets alone that have little besides.
+
+The sets of a key meet its pivot, the one of them that has most shared keys. Sets that their pivot's
+links leave outside the component of most of the pivot's sets then meet, in blocks, all of the
+pivot's sets that are not in their own component. So a group of near copies costs a comparison for
+each copy, and one with each other copy only for those that are unlike the pivot.
 
 Candidates are first compared by a bit sketch (each shingle flips one bit), whose Hamming distance
 is at most the symmetric difference; wider sketches fold to narrower ones. What passes is verified
-on the whole texts, a forest of the candidates first; pairs that verified links connect already need
-no more. Equal sets count as one node throughout.
+on the words of the whole texts. Equal sets count as one node throughout.
 """
 
 from __future__ import annotations
@@ -32,26 +32,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import graph, store, text
 
 RATIO = 3
-LIGHT = 16
 DEALS = 6
-MIDDLE = 256
-#: Pivots of a key of more than MIDDLE sets.
-ROUNDS = 4
-#: 64-bit words of the sketch that stands beside the keys of more than MIDDLE sets.
-FOLD = 8
-#: Sets of a key that meet a block at once.
-BLOCK = 512
-SALT = 32
-#: Bits of a sketch: about four a shingle, at most so many.
-SKETCH_BITS = 1 << 16
+#: Buckets in which shingles are counted, and rows that a task's counts come in.
+COUNTERS, SLICES = 1 << 18, 64
+#: Sets that meet a block at once, and pairs of a set that are verified together.
+BLOCK, TOGETHER = 256, 256
+#: Bits of a sketch: about four a shingle, at least and at most so many.
+LEAST_BITS, SKETCH_BITS = 512, 1 << 16
+#: Rows of a few numbers that are sent to every task, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 FLUSH = 500_000
+#: Rounds in which a set verifies one of its pairs, before all that are left are verified.
+ROUNDS = 3
 
 
 @cache
@@ -69,30 +66,33 @@ def parts(k: int) -> tuple[int, int]:
     return (2 * most, 2 * most) if most <= 80 else (most, -(-most * 13 // 20))
 
 
-def sketch(h: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """The join keys of a set of hashes, and how many of them may be heavy for the others to suffice."""
-    n, out, spare = len(h), [], 1 << 30
-    least = n // 3 + 1
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The join keys of a set of hashes; counts: of all shingles, by bucket."""
+    n, out, seen = len(h), [], counts[bucket(h)]
+    enough = n // 3 + 1
     for k in dict.fromkeys((band(n), band(n * 4 // 3))):
         total, used = parts(k)
         for deal in range(DEALS + 1):
             if deal == DEALS:
-                keys = text.mix(h, 1000 + k)
+                found, weight = text.mix(h, 1000 + k), seen
             else:
                 part = text.mix(h, 10 * k + deal + 1) % np.uint64(total)
-                mine = part < used
-                part, x = part[mine], h[mine]
-                order = np.argsort(part, kind="stable")
-                part = part[order]
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, int)
-                parity = np.bitwise_xor.reduceat(x[order], first) if len(part) else x
-                keys = text.mix(parity ^ text.mix(part[first], 10 * k + deal + 500), 7)
-            out.append(keys)
-            if len(keys) >= least:
-                # A partner may stop at an earlier deal and share no key of the later ones: then nothing may be left out.
-                spare = min(spare, len(keys) - least) if deal == 0 else 0
+                mine = np.flatnonzero(part < used)
+                if len(mine) == 0:
+                    continue
+                mine = mine[np.argsort(part[mine], kind="stable")]
+                part = part[mine]
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                parity, weight = np.bitwise_xor.reduceat(h[mine], first), np.minimum.reduceat(seen[mine], first)
+                found = text.mix(parity ^ text.mix(part[first], 10 * k + deal + 500), 7)
+            out.append(found[np.lexsort((found, weight))[:enough]])
+            if len(found) >= enough:
                 break
-    return out, spare
+    return np.concatenate(out)
 
 
 def node_of(h: np.ndarray) -> int:
@@ -102,38 +102,84 @@ def node_of(h: np.ndarray) -> int:
 
 def bits(h: np.ndarray) -> bytes:
     """The set's bit sketch; its width is a power of two."""
-    width = min(SKETCH_BITS, max(64, 1 << (4 * len(h) - 1).bit_length()))
+    width = min(SKETCH_BITS, max(LEAST_BITS, 1 << (4 * len(h) - 1).bit_length()))
     flips = np.bincount((text.mix(h, 77) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-def fold(h: np.ndarray) -> np.ndarray:
-    """A sketch of FOLD words for sets of any size."""
-    flips = np.bincount((text.mix(h, 77) % np.uint64(64 * FOLD)).astype(np.int64), minlength=64 * FOLD) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+def folded(sketch: bytes, size: int = LEAST_BITS // 8) -> np.ndarray:
+    """A sketch of that many bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
 
 
 def distance(a: bytes, b: bytes) -> int:
     """The Hamming distance of two sketches; the wider one is folded."""
-    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
-    if len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def alike(x: str | None, y: str | None, k: int) -> bool:
+    """Whether 100 * shared shingles >= 75 * all shingles, by the words themselves."""
+    names: dict[bytes, int] = {}
+    sets = []
+    for t in (x, y):
+        ids = [names.setdefault(w, len(names)) for w in text.words(t)]
+        m = min(k, len(ids))
+        sets.append({tuple(ids[i : i + m]) for i in range(len(ids) - m + 1)} if m else set())
+    both = len(sets[0] & sets[1])
+    return both > 0 and 100 * both >= 75 * (len(sets[0]) + len(sets[1]) - both)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def nodes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, spare, sketch, fold); node is null for an empty set."""
+def surveyed(docs: DataFrame, k: int) -> DataFrame:
+    """Two kinds of rows. (doc_id, text_hash, n_shingles, node, sketch) of each row; node is null for
+    an empty set. (slice, counts): a task's counts of the shingles of its distinct sets, in SLICES rows."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, node long, sketch binary, slice int, counts binary"
+    names = ["doc_id", "text_hash", "n_shingles", "node", "sketch", "slice", "counts"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, kind = np.zeros(COUNTERS, np.int64), set(), pa.null()
+        for b in batches:
+            n, node, sketch, new = [], [], [], [np.zeros(0, np.uint64)]
+            for h in text.shingle_sets(b.column("text").to_pylist(), k):
+                n.append(len(h))
+                node.append(node_of(h) if len(h) else None)
+                sketch.append(bits(h) if len(h) else None)
+                if len(h) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    new.append(h)
+            counts += np.bincount(bucket(np.concatenate(new)), minlength=COUNTERS)
+            kind = b.column("doc_id").type
+            none = len(n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+        if seen:
+            pieces = [x.astype(np.uint32).tobytes() for x in counts.reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), *[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(pieces, pa.binary())], names)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, schema)
+
+
+def totals(found: DataFrame) -> np.ndarray:
+    """The counts of all tasks; COUNTERS numbers at any size of the input reach the driver."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            rows = [(len(h), node_of(h), sketch(h)[1], bits(h), fold(h)) if len(h) else (0, None, 0, None, None) for h in text.shingle_sets(list(b["text"]), k)]
-            n, node, spare, sketches, folds = zip(*rows, strict=True) if rows else [()] * 5
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": np.array(n, np.int64), "node": pd.array(node, "Int64"), "spare": np.array(spare, np.int64), "sketch": list(sketches), "fold": list(folds)})
+            for i, x in zip(b["slice"], b["counts"], strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+        yield pd.DataFrame({"slice": np.array(list(sums), np.int32), "counts": [x.tobytes() for x in sums.values()]})
 
-    return docs.mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long, spare long, sketch binary, fold array<long>")
+    rows = found.where("slice is not null").select("slice", "counts").repartition("slice").mapInPandas(work, "slice int, counts binary").collect()
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
 
 
-def keys(docs: DataFrame, k: int) -> DataFrame:
+def keyed(docs: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
     """(key, node) of all sets; a set comes once from each task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +190,7 @@ def keys(docs: DataFrame, k: int) -> DataFrame:
                 if len(h) == 0 or (node := node_of(h)) in seen:
                     continue
                 seen.add(node)
-                mine = np.concatenate(sketch(h)[0])
+                mine = keys(h, counts)
                 found.append(mine)
                 names.append(np.full(len(mine), node, np.int64))
                 size += len(mine)
@@ -160,211 +206,168 @@ def keys(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "key long, node long")
 
 
-def candidates(found: DataFrame, light: int) -> DataFrame:
-    """(heavy, a, b): pairs a < b of nodes that share a light key, and (key, node) of heavy keys, from rows sorted by key within partitions."""
-
-    def pairs(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        a, b = [], []
-        for n in range(2, light + 1):
-            at = first[size == n]
-            if len(at):
-                i, j = np.triu_indices(n, 1)
-                a.append(node[at[:, None] + i].ravel())
-                b.append(node[at[:, None] + j].ravel())
-        if a:
-            x = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-            yield rows(False, x[:, 0], x[:, 1])
-        big = np.repeat(size > light, size)
-        if big.any():
-            yield rows(True, key[big], node[big])
-
-    def rows(heavy: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), heavy)), pa.array(a), pa.array(b)], ["heavy", "a", "b"])
+def shared(rows: DataFrame) -> DataFrame:
+    """The distinct (key, node) of keys that several nodes have, from rows sorted by both within partitions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What is held is the last key's rows, and those only until they are more than light; a heavy key streams through.
-        held, heavy = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
-        last = None
+        # Held is the last row, unless it is known to share its key; before: the last row that was sent.
+        none = np.zeros(0, np.int64)
+        held, before = (none, none), None
         for x in batches:
-            key, node = x.column(0).to_numpy(), x.column(1).to_numpy()
+            key, node = (np.concatenate((h, x.column(i).to_numpy())) for i, h in enumerate(held))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]
+            key, node = key[new], node[new]
+            if before is not None and len(key) and before == (key[0], node[0]):
+                key, node = key[1:], node[1:]
             if len(key) == 0:
+                held = (none, none)
                 continue
-            again = np.concatenate(([last == (key[0], node[0])], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
-            last = (key[-1], node[-1])
-            key, node = key[~again], node[~again]
-            if heavy is not None:
-                n = int(np.searchsorted(key != heavy, True)) if (key != heavy).any() else len(key)
-                if n:
-                    yield rows(True, key[:n], node[:n])
-                key, node = key[n:], node[n:]
-                if len(key):
-                    heavy = None
-            key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
-            held = (key[:0], node[:0])
-            if len(key) == 0:
-                continue
-            tail = len(key) - int(np.argmax((key != key[-1])[::-1])) if (key != key[-1]).any() else 0
-            if len(key) - tail > light:
-                heavy = key[-1]
+            same = key[1:] == key[:-1]
+            good = np.concatenate(([before is not None and before[0] == key[0]], same)) | np.concatenate((same, [False]))
+            if good[-1]:
+                held, before = (none, none), (key[-1], node[-1])
             else:
-                held = key[tail:], node[tail:]
-                key, node = key[:tail], node[:tail]
-            if len(key):
-                yield from pairs(key, node)
-        if len(held[0]):
-            yield from pairs(*held)
-
-    return found.mapInArrow(work, "heavy boolean, a long, b long")
-
-
-class Verifier:
-    """Compares pairs (a, b) of nodes: by sketches, then on the texts."""
-
-    def __init__(self, docs: DataFrame, per_node: DataFrame, k: int):
-        self.docs, self.per_node, self.k = docs, per_node, k
-
-    def passed(self, pairs: DataFrame, salted: bool = False) -> DataFrame:
-        """Those of distinct pairs that sizes and sketches allow; salted: few nodes stand in many pairs as b."""
-        left = self.per_node.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), "sketch")
-        right = self.per_node.select(F.col("node").alias("b"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("sketch2"))
-        on = ["b"]
-        if salted:
-            pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int"))
-            right = right.join(spread(pairs.select("b").distinct()), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            on = ["b", "salt"]
-        x = pairs.join(left, "a").join(right, on).where("4 * least(n, n2) >= 3 * greatest(n, n2)").select("a", "b", "n", "n2", "sketch", "sketch2")
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                good = [7 * distance(s, t) <= m + n for s, t, m, n in zip(b["sketch"], b["sketch2"], b["n"], b["n2"], strict=True)]
-                yield b.loc[np.array(good, bool), ["a", "b"]]
-
-        return x.mapInPandas(near, "a long, b long")
-
-    def linked(self, pairs: DataFrame, salted: bool = False) -> DataFrame:
-        """Those of distinct pairs whose sets are 3/4 alike."""
-        pairs = store.table(pairs, "parity-forest")
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(self.per_node, "node").select("node", F.col("doc_id").alias("id"))
-        texts = store.table(self.docs.join(spread(store.table(wanted, "parity-wanted")), self.docs["doc_id"].eqNullSafe(F.col("id"))).select("node", "text"), "parity-texts")
-        left, right, on = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y")), ["b"]
-        if salted:
-            pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int"))
-            right = right.join(spread(pairs.select("b").distinct()), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            on = ["b", "salt"]
-        k = self.k
-
-        def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for i in range(0, len(b), 500):
-                    part = b.iloc[i : i + 500]
-                    good = []
-                    for p, q, x, y in zip(part["a"], part["b"], text.shingle_sets(list(part["x"]), k), text.shingle_sets(list(part["y"]), k), strict=True):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        # A doc_id of several rows may bring another row's text.
-                        good.append(len(x) > 0 and len(y) > 0 and 100 * both >= 75 * (len(x) + len(y) - both) and node_of(x) == p and node_of(y) == q)
-                    yield part.loc[np.array(good, bool), ["a", "b"]]
-
-        return pairs.join(left, "a").join(right, on).select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
-
-    def connect(self, pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
-        """edges and more of pairs' links, so that all of pairs' links join nodes of one component.
-
-        Each round compares one pair for each node, that with its least partner, and then leaves out
-        what is connected; what three rounds leave is compared at once. So sketches and texts meet
-        few of a group's pairs, whose number grows with its size's square.
-        """
-        pairs, first = store.table(pairs, "parity-pairs"), None
-        for i in range(4):
-            if first is not None:
-                pairs = pairs.join(spread(first), ["a", "b"], "left_anti")
-            if edges is not None:
-                joined = store.table(graph.components(edges), "parity-joined")
-                for side in ("a", "b"):
-                    pairs = pairs.join(spread(joined).select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-                pairs = store.table(pairs.where("ca is null or cb is null or ca != cb").select("a", "b"), "parity-pairs")
-            first = store.table(pairs.distinct() if i == 3 else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "parity-first")
-            if first.limit(1).count() == 0:
-                break
-            found = self.linked(self.passed(first))
-            edges = store.table(found if edges is None else edges.unionAll(found), "parity-edges")
-        return edges
+                held, before = (key[-1:], node[-1:]), None
+            yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(node[good])], ["key", "node"])
 
+    return rows.mapInArrow(work, "key long, node long")
 
-def spread(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def near(pairs: DataFrame, per_node: DataFrame) -> DataFrame:
+    """Those of distinct pairs (a, b) that sizes and sketches allow."""
+    left = per_node.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), "sketch")
+    right = per_node.select(F.col("node").alias("b"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("sketch2"))
+    x = pairs.join(left, "a").join(right, "b").where("4 * least(n, n2) >= 3 * greatest(n, n2)").select("a", "b", "n", "n2", "sketch", "sketch2")
 
-def links(docs: DataFrame, found: DataFrame, k: int, light: int = LIGHT, middle: int = MIDDLE, rounds: int = ROUNDS) -> DataFrame:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = [7 * distance(s, t) <= m + n for s, t, m, n in zip(b["sketch"], b["sketch2"], b["n"], b["n2"], strict=True)]
+            yield b.loc[np.array(good, bool), ["a", "b"]]
+
+    return x.mapInPandas(work, "a long, b long")
+
+
+def verified(scratch: store.Scratch, pairs: DataFrame, docs: DataFrame, per_node: DataFrame, k: int) -> DataFrame:
+    """Those of distinct pairs (a, b), written already, whose sets are 3/4 alike. A text b comes once for TOGETHER of its pairs, and before these."""
+    of = scratch.put("of", pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts")))
+    mine = pairs.join(spread(of), "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"))
+    wanted = scratch.put("wanted", mine.unionAll(of.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))))
+    at = per_node.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("id_hash"))
+    wanted = scratch.put("wanted", wanted.join(at, "node"))
+    n = store.partitions(docs.sparkSession)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    x = hashed.join(spread(wanted), hashed["doc_id"].eqNullSafe(F.col("id")) & (hashed["text_hash"] == F.col("id_hash"))).select("b", "salt", "kind", "node", "text")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b, y, last = None, None, None
+        for x in batches:
+            good = []
+            for row in x.itertuples(index=False):
+                if row.kind == 0:
+                    b, y = row.b, row.text
+                elif row.b == b and (row.node, b) != last:
+                    # Rows that repeat a text and its id come one after another.
+                    last = (row.node, b)
+                    if alike(row.text, y, k):
+                        good.append(last)
+            yield pd.DataFrame(np.array(good, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return x.repartition(n, "b", "salt").sortWithinPartitions("b", "salt", "kind", "node").mapInPandas(work, "a long, b long")
+
+
+def blocks(group: DataFrame, side: str, of: str, *more: str) -> DataFrame:
+    """Each pivot's rows in so many blocks, BLOCK rows in each or so: (pivot, block, more, side)."""
+    row = F.struct("node", "component", "mask", "n_shingles", "sketch")
+    return group.groupBy("pivot", F.pmod(F.xxhash64("node"), of).cast("int").alias("block"), *more).agg(F.collect_list(row).alias(side))
+
+
+def met(rest: DataFrame, every: DataFrame) -> DataFrame:
+    """The pairs a < b of a block of rest and one of every that share a key's bit, are in different components, and that sizes and sketches allow."""
+
+    def packed(x: pa.Array) -> dict[str, np.ndarray | list[bytes]]:
+        flat = x.flatten()
+        out = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "mask", "n_shingles")}
+        sketches = flat.field("sketch").to_pylist()
+        small = np.array([folded(s) for s in sketches], np.uint8).reshape(len(sketches), -1).view(np.uint64)
+        return out | {"sketch": sketches, "small": small}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                x, y = (packed(batch.column(j).slice(i, 1)) for j in range(2))
+                apart = np.bitwise_count(x["small"][:, None] ^ y["small"][None]).sum(axis=2, dtype=np.int64)
+                m, n = x["n_shingles"][:, None], y["n_shingles"][None]
+                good = (x["component"][:, None] != y["component"][None]) & (x["mask"][:, None] & y["mask"][None] != 0)
+                good &= (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (7 * apart <= m + n)
+                for p, q in np.argwhere(good):
+                    if 7 * distance(x["sketch"][p], y["sketch"][q]) <= x["n_shingles"][p] + y["n_shingles"][q]:
+                        a, b = int(x["node"][p]), int(y["node"][q])
+                        found.add((min(a, b), max(a, b)))
+            pairs = np.array(list(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    x = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(every, ["pivot", "block"])
+    return x.select("rest", "every").mapInArrow(work, "a long, b long").distinct()
+
+
+def links(scratch: store.Scratch, docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Edges (a, b) of nodes that connect all nodes whose sets are 3/4 alike."""
-    spark = docs.sparkSession
-    n = store.partitions(spark)
-    sorted_keys = keys(docs, k).repartition(n, "key").sortWithinPartitions("key", "node")
-    got = store.table(candidates(sorted_keys, light), "parity-candidates")
-    heavy = got.where("heavy").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    per_node = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("spare", "n_shingles", "sketch", "fold")])
-    per_node = store.table(per_node, "parity-per-node")
-    verifier = Verifier(docs, per_node, k)
-    short = heavy.groupBy("node").agg(F.count(F.lit(1)).alias("hub")).join(per_node.select("node", "spare"), "node").where("hub > spare")
-    heavy = store.table(heavy.join(short, "node"), "parity-heavy")
-    size = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
-    # A node's keys are at most those of a sketch, whose number is about that of its shingles.
-    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("of"), F.desc("key")))
-    heavy = store.table(heavy.join(size, "key").withColumn("rank", rank).where("rank > spare").select("key", "node", "hub"), "parity-prefix")
-    size = heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    heavy = store.table(heavy.join(size, "key"), "parity-sized")
-    # Keys of one group of sets stand together, so most of their pairs are found to be the same at once.
-    mid = heavy.where(F.col("n") <= middle).repartition(n, "least").sortWithinPartitions("least", "key", "node").select("key", "node")
-    pairs = got.where("not heavy").select("a", "b").unionAll(candidates(mid, middle).where("not heavy").select("a", "b"))
-    edges = verifier.connect(pairs, None)
-    big = store.table(heavy.where(F.col("n") > middle).select("key", "node", "n", "hub", F.lit(False).alias("linked"), F.lit(False).alias("used")), "parity-big")
-    if big.limit(1).count():
-        for _ in range(rounds):
-            rank = F.struct("used", (-F.col("hub")).alias("hub"), F.xxhash64("node").alias("rank"), "node")
-            pivot = big.groupBy("key").agg(F.min(rank)["node"].alias("pivot"))
-            x = big.join(pivot, "key")
-            met = x.where("not linked and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-            good = store.table(verifier.linked(verifier.passed(met, salted=True), salted=True), "parity-met")
-            edges = good if edges is None else store.table(edges.unionAll(good), "parity-edges")
-            hit = good.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.lit(True).alias("hit"))
-            x = x.join(hit, ["node", "pivot"], "left")
-            chosen = F.col("node") == F.col("pivot")
-            big = store.table(x.select("key", "node", "n", "hub", (F.col("linked") | F.coalesce("hit", F.lit(False)) | (chosen & ~F.col("used"))).alias("linked"), (F.col("used") | chosen).alias("used")), "parity-big")
-            if big.where("not linked").limit(1).count() == 0:
-                break
-        joined = store.table(graph.components(edges), "parity-joined")
-        words = [F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)]
-        big = big.select("key", "node", "n").join(spread(joined), "node", "left").withColumn("component", F.coalesce("component", "node")).join(per_node.select("node", "n_shingles", *words), "node")
-        big = store.table(big, "parity-blocks")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        side = lambda x, t: [F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), *[F.col(f"f{i}").alias(f"{t}{i}") for i in range(FOLD)]]
-        # Two sets of different components are not both in the most frequent one; a key of one component has no rest.
-        main = big.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-        rest = store.table(big.join(main, "key").where("component != main").drop("main"), "parity-rest")
-        every = big.join(spread(rest.select("key").distinct()), "key", "left_semi").select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *side("b", "t"))
-        rest = rest.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("a", "s"))
-        apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(FOLD)), F.lit(0))
-        near = (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb"))
-        pairs = rest.join(every, ["key", "block"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = verifier.connect(pairs, edges)
-    return spark.createDataFrame([], "a long, b long") if edges is None else edges
-
-
-def classes(docs: DataFrame, k: int = 5, light: int = LIGHT, middle: int = MIDDLE, rounds: int = ROUNDS) -> DataFrame:
+    n = store.partitions(docs.sparkSession)
+    held = scratch.put("keys", shared(keyed(docs, totals(found), k).repartition(n, "key").sortWithinPartitions("key", "node")))
+    hub = scratch.put("hubs", held.groupBy("node").agg(F.count(F.lit(1)).alias("hub")))
+    per_node = found.where("node is not null").join(spread(hub), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    per_node = scratch.put("nodes", per_node.select("node", "at.*", "n_shingles", "sketch"))
+    ranked = scratch.put("ranked", held.join(spread(hub), "node"))
+    pivot = scratch.put("pivots", ranked.groupBy("key").agg(F.max(F.struct("hub", F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot")))
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(key), 64) AS int))"))
+    members = scratch.put("members", ranked.join(pivot, "key").groupBy("pivot", "node").agg(mask.alias("mask")))
+    scratch.drop("keys", "hubs", "ranked", "pivots")
+    pairs = scratch.put("pairs", near(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), per_node))
+    edges = scratch.put("edges", verified(scratch, pairs, docs, per_node, k))
+    joined = scratch.put("joined", graph.components(edges))
+    x = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x = scratch.put("members", x)
+    size = x.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = size.groupBy("pivot").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    # A group of one component has no rest.
+    main = scratch.put("main", main.where("n > main.n").select("pivot", F.col("main.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("rests")))
+    x = scratch.put("open", x.join(spread(main), "pivot").join(per_node.select("node", "n_shingles", "sketch"), "node"))
+    every, rest = blocks(x, "every", "blocks"), blocks(x.where("component != main"), "rest", "rests", "blocks").drop("block")
+    left = scratch.put("left", met(rest, every))
+    scratch.drop("members", "main", "open")
+    for i in range(ROUNDS + 1):
+        if left.limit(1).count() == 0:
+            break
+        # One pair of each set; what three rounds leave is verified at once.
+        pairs = scratch.put("pairs", left if i == ROUNDS else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        edges = scratch.put("edges", edges.unionAll(verified(scratch, pairs, docs, per_node, k)))
+        joined = scratch.put("joined", graph.components(edges))
+        left = left.join(spread(pairs), ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            left = left.join(spread(joined).select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        left = scratch.put("left", left.where("ca is null or cb is null or ca != cb").select("a", "b"))
+    scratch.drop("left", "pairs", "wanted", "edges", "of", "nodes")
+    return joined
+
+
+def classes(docs: DataFrame, k: int = 5) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Documents link when 100 * shared shingles >= 75 * all shingles; component_id is the smallest
     doc_id reachable (null if all are null). A null text is an empty one; empty sets link with
-    nothing and stand alone. Repeated rows keep their rows. Sets are compared by 64-bit hashes of
-    shingles. Further columns are ignored; an empty table gives an empty table.
+    nothing and stand alone. Repeated rows keep their rows. Links are verified by the words
+    themselves; sets count as equal if 64-bit hashes of them are. Further columns are ignored; an
+    empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    found = store.table(nodes(docs, k), "parity-nodes")
-    joined = graph.components(links(docs, found, k, light, middle, rounds))
-    base = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    scratch = store.Scratch(docs.sparkSession, "parity")
+    found = scratch.put("found", surveyed(docs, k))
+    rows = found.where("slice is null")
+    joined = links(scratch, docs, found, k) if not rows.where("node is not null").isEmpty() else docs.sparkSession.createDataFrame([], "node long, component long")
+    base = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     base = base.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = base.groupBy("component").agg(F.min("least").alias("component_id"))
-    base = store.table(base.select("node", "component").join(named, "component").select("node", "component_id"), "parity-classes")
-    full = found.where("node is not null").join(base, "node").select("doc_id", "n_shingles", "component_id")
-    return full.unionAll(found.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    base = scratch.put("classes", base.select("node", "component").join(named, "component").select("node", "component_id"))
+    full = rows.where("node is not null").join(base, "node").select("doc_id", "n_shingles", "component_id")
+    return full.unionAll(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

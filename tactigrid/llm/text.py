@@ -14,23 +14,16 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_powers: dict[int, np.ndarray] = {}
+#: The first n of eight bytes.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Odd multipliers of a shingle's words, by place.
+_PLACES = np.array([pow(0xA24BAED4963EE407, i, 2**64) for i in range(64)], np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
-        p = np.full(max(n, CHUNK * 2), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x + np.uint64((seed * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) % 2**64)
@@ -40,12 +33,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each span of buf, from prefix sums, whatever its place."""
-    n = len(buf)
-    up, down = powers(n, _BASE), powers(n, pow(_BASE, -1, 2**64))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf + np.uint64(1)) * up, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of each span of buf, whatever its place: eight bytes after another go through the finaliser."""
+    size = np.asarray(ends - starts, np.int64)
+    lanes = np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    h = mix(size.astype(np.uint64), 1)
+    at, begins, left = slice(None), starts, size
+    while len(left):
+        h[at] = mix(h[at] ^ (lanes[begins] & _KEEP[np.minimum(left, 8)]))
+        longer = np.flatnonzero(left > 8)
+        at = longer if isinstance(at, slice) else at[longer]
+        begins, left = begins[longer] + 8, left[longer] - 8
+    return h
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -77,13 +75,12 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> Iterator[np.ndarray]:
     """For each text its distinct k-word shingles as sorted hashes; fewer words make one shingle, none the empty set."""
-    p = powers(k + 1, 0xA24BAED4963EE407)
     for h in word_hashes(texts):
         if len(h) == 0:
             yield h
             continue
         m = min(k, len(h))
-        s = h[: len(h) - m + 1] * p[0]
+        s = h[: len(h) - m + 1] * _PLACES[0]
         for i in range(1, m):
-            s = s + h[i : len(h) - m + 1 + i] * p[i]
+            s = s + h[i : len(h) - m + 1 + i] * _PLACES[i]
         yield np.unique(mix(s, m))

@@ -49,12 +49,14 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k != 5}
 
 
-@pytest.mark.parametrize("limits", [(16, 256, 8), (2, 3, 1)])
-def test_jaccard_classes(spark, docs, limits):
+@pytest.mark.parametrize("block", [256, 3])
+def test_jaccard_classes(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(parity, "BLOCK", block)
+    monkeypatch.setattr(parity, "TOGETHER", block)
     rows = [(i, " ".join(f"w{(i // 9) * 100 + j}" for j in range(60)) + f" end{i % 9}", "en", "s") for i in range(100, 127)]
     x = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     x = x.where("doc_id is not null").selectExpr("*", *CLASH)
-    got = parity.classes(x, 5, *limits).collect()
+    got = parity.classes(x, 5).collect()
     sets = {r["doc_id"]: shingles(r["text"]) for r in x.collect()}
     near = lambda p, q: p and q and 100 * len(p & q) >= 75 * len(p | q)
     want = least([(a, b) for a, b in itertools.combinations(sets, 2) if near(sets[a], sets[b])], sets)
