@@ -42,7 +42,7 @@ DEALS = 6
 COUNTERS, SLICES = 1 << 18, 64
 #: Sets that meet a block at once, and pairs of a set that are verified together.
 BLOCK, TOGETHER = 256, 256
-#: Bits of a sketch: about four a shingle, at least and at most so many.
+#: Bits of a sketch: one or two a shingle, at least and at most so many.
 LEAST_BITS, SKETCH_BITS = 512, 1 << 16
 #: Rows of a few numbers that are sent to every task, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
@@ -102,7 +102,7 @@ def node_of(h: np.ndarray) -> int:
 
 def bits(h: np.ndarray) -> bytes:
     """The set's bit sketch; its width is a power of two."""
-    width = min(SKETCH_BITS, max(LEAST_BITS, 1 << (4 * len(h) - 1).bit_length()))
+    width = min(SKETCH_BITS, max(LEAST_BITS, 1 << (len(h) - 1).bit_length()))
     flips = np.bincount((text.mix(h, 77) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
