@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON document of any layout. The set of its nested field paths (with list levels and
-value kinds) is hashed; the hash selects a declarative mapping, which says where the turns are. Each
+A record is a JSON document of any layout. The set of its nested field paths (with list levels) is
+hashed; the hash selects a declarative mapping, which says where the turns are. Each
 mapping also names the fields it reads, so a layout with more fields than a known one still finds
 it; that choice is made once for each schema. The turns are written as
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
-#: Roles by the names that layouts use.
+#: Roles by the names that the layout "conversations" has for them; all other layouts' roles stay as given.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -41,12 +41,13 @@ class Mapping:
     text: str = ""
     singles: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: frozenset[str] = frozenset()
+    renamed: bool = False
 
 
 #: Tried in this order for a schema that is seen for the first time.
 MAPPINGS = (
     Mapping("messages", frozenset({"messages[].role", "messages[].content"}), "messages", "role", "content"),
-    Mapping("conversations", frozenset({"conversations[].from", "conversations[].value"}), "conversations", "from", "value"),
+    Mapping("conversations", frozenset({"conversations[].from", "conversations[].value"}), "conversations", "from", "value", renamed=True),
     Mapping("turns", frozenset({"turns[].role", "turns[].text"}), "turns", "role", "text"),
     Mapping("instruction", frozenset({"instruction", "output"}), singles=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=frozenset({"system"})),
     Mapping("prompt", frozenset({"prompt", "completion"}), singles=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=frozenset({"system"})),
@@ -90,11 +91,12 @@ def unescape_role(s: str) -> str:
 
 
 def turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    """The record's canonical turns (role, text); nulls are empty."""
+    """The record's canonical turns (role, text); nulls are empty, and a message that is no object is a turn without role."""
     text = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
     if mapping.messages:
-        rows = [(text(x.get(mapping.role)), text(x.get(mapping.text))) for x in record.get(mapping.messages) or [] if isinstance(x, dict)]
-        return [(ROLES.get(r, r), t) for r, t in rows]
+        messages = record.get(mapping.messages) or []
+        rows = [(text(x.get(mapping.role)), text(x.get(mapping.text))) if isinstance(x, dict) else ("", text(x)) for x in messages]
+        return [(ROLES.get(r, r), t) for r, t in rows] if mapping.renamed else rows
     out = []
     for role, fields in mapping.singles:
         parts = [text(record.get(f)) for f in fields]
@@ -169,16 +171,20 @@ def from_turns(rows: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """format_records()'s output by conv_id, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, schema, mapping."""
+    """format_records()'s output by conv_id, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, schema, mapping; nulls for a record without mapping."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for s, spans in zip(b["formatted"], b["loss"], strict=True):
+                if s is None:
+                    rows.append((None,) * 5)
+                    continue
                 read, loss = parse(s), "".join(unescape(s[i:j]) for i, j in spans)
                 digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((len(read), digest("".join(f"{r}\n{t}\n" for r, t in read)), len(loss), digest(loss), len(s)))
             out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            out = out.astype({"n_turns": "Int64", "loss_chars": "Int64", "formatted_chars": "Int64"})
             out.insert(0, "conv_id", b["conv_id"].array)
             yield out.assign(schema=b["schema"], mapping=b["mapping"])
 
