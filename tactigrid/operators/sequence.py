@@ -145,3 +145,12 @@ def downsample(df: DataFrame, entity: list[str], t: str, tie: str, n: int) -> Da
     k = F.floor(F.col("i") * (n - 1) / (F.col("all") - 1) + 0.5)
     mine = F.floor(k * (F.col("all") - 1) / (n - 1) + 0.5) == F.col("i")
     return x.where((F.col("all") <= n) | mine).drop("i", "all")
+
+
+def detected_around(df: DataFrame, entity: list[str], t: str, tie: str, detected: Column, most: float) -> DataFrame:
+    """df with bridged: whether the nearest detected rows before and after a row are both there and at most `most` apart."""
+    w = ordered(entity, t, tie)
+    at = F.when(detected, F.col(t))
+    before = F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(at, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    return df.withColumn("bridged", F.coalesce(after - before <= most, F.lit(False)))

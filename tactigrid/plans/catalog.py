@@ -11,25 +11,15 @@ from tactigrid.functions import geometry as G
 from tactigrid.operators import aggregates as A
 from tactigrid.operators import motion, review
 from tactigrid.operators import sequence as S
+from tactigrid.plans import scalars, tracking  # noqa: F401  they register their queries
+from tactigrid.plans.registry import ORACLE, QUERIES, query
 from tactigrid.sources.tables import table
 from tactigrid.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 HOUR = 3600.0
 START = 1_704_067_200  # 2024-01-01 UTC
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return keep
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", S.seconds("ts").alias("t"))
 
@@ -188,7 +178,10 @@ def a26(spark, d):
     return A.centroids(table(spark, d, "embeddings"), "label", "embedding")
 
 
-@query("g8_medoid")
+@query("g8_medoid", """WITH u AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+c AS (SELECT label, i, avg(x / n) AS c FROM (SELECT label, n, unnest(v) AS x, unnest(range(len(v))) AS i FROM u) GROUP BY label, i), m AS (SELECT label, list(c ORDER BY i) AS m FROM c GROUP BY label),
+y AS (SELECT u.label, vec_id, round(list_inner_product(v, m) / n, 6) AS likeness FROM u JOIN m ON u.label = m.label)
+SELECT label, vec_id, likeness FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY likeness DESC, vec_id) AS r FROM y) WHERE r = 1""")
 def g8(spark, d):
     return A.medoid(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
@@ -199,7 +192,7 @@ def p1(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@query("p2_polygon", "SELECT p_partkey, (CASE WHEN p_size < 10 OR p_size >= 40 THEN false ELSE p_retailprice >= 950 AND p_retailprice < 1500 END) AS inside FROM part")
+@query("p2_polygon", "SELECT p_partkey, (CASE WHEN p_size < 10 OR p_size > 40 THEN false ELSE p_retailprice >= 950 AND p_retailprice <= 1500 END) AS inside FROM part")
 def p2(spark, d):
     corners = [(950.0, 10.0), (1500.0, 10.0), (1500.0, 40.0), (950.0, 40.0)]
     return table(spark, d, "part").select("p_partkey", G.in_polygon(F.col("p_retailprice"), F.col("p_size").cast("double"), corners).alias("inside"))
