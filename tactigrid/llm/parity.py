@@ -48,7 +48,7 @@ LEAST_BITS, SKETCH_BITS = 512, 1 << 16
 BROADCAST_ROWS = 300_000
 FLUSH = 500_000
 #: Rounds in which a set verifies one of its pairs, before all that are left are verified.
-ROUNDS = 3
+ROUNDS = 1
 
 
 @cache
@@ -339,7 +339,7 @@ def links(scratch: store.Scratch, docs: DataFrame, found: DataFrame, k: int) ->
     for i in range(ROUNDS + 1):
         if left.limit(1).count() == 0:
             break
-        # One pair of each set; what three rounds leave is verified at once.
+        # One pair of each set; what that leaves apart is verified at once.
         pairs = scratch.put("pairs", left if i == ROUNDS else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         edges = scratch.put("edges", edges.unionAll(verified(scratch, pairs, docs, per_node, k)))
         joined = scratch.put("joined", graph.components(edges))
