@@ -50,20 +50,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken whole, and once more the words that are taken besides."""
-    kept, kind = docs.columns, dict(docs.dtypes)["n_chars"]
+    """The mix: a document as often as it is taken whole, and once more the words that are taken besides; texts without words are never taken."""
+    kept = docs.columns
     docs = numbered(docs)
-    taken = mixing.mix(docs, keep=(ROW,)).where("taken > 0").select(ROW, "size", "times", "extra_from", "extra")
-    x = docs.join(taken, ROW)
-    copies = F.col("times") + (F.col("extra") > 0).cast("int")
-    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
+    names = ("size", "times", "extra_from", "extra")
+    taken = mixing.mix(docs, keep=(ROW,)).where("taken > 0").select(ROW, *[F.col(c).alias(f"{ROW}_{c}") for c in names])
+    size, times, begin, extra = (F.col(f"{ROW}_{c}") for c in names)
+    copies = (times + (extra > 0).cast("int")).cast("long")
+    x = docs.join(taken, ROW).withColumn(f"{ROW}_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    begin = F.col("extra_from").cast("int")
-    end = F.least(F.col("size"), begin + F.col("extra")).cast("int")
-    around = (F.col("extra") - (end - begin)).cast("int")
+    begin = begin.cast("int")
+    end = F.least(size, begin + extra).cast("int")
+    around = (extra - (end - begin)).cast("int")
     part = F.array_join(F.concat(F.slice(words, begin + 1, end - begin), F.slice(words, F.lit(1), around)), " ")
-    whole = (F.col("copy") <= F.col("times")) | (F.col("extra") >= F.col("size"))
-    return x.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast(kind)).select(kept)
+    whole = (F.col(f"{ROW}_copy") <= times) | (extra >= size)
+    x = x.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    if "n_chars" in kept:
+        x = x.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return x.select(kept)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
