@@ -78,7 +78,7 @@ FRAMES = ("{}", "Notice: {}", "{} See the file LICENSE for the terms.", "Copyrig
 
 
 def words(p: Column) -> Column:
-    return F.filter(F.split(F.lower(p), r"[^a-z0-9.+]*[^a-z0-9+](?:[.]+)?|[.]+$"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(p), "[^a-z0-9+]+"), "")
 
 
 def grams(w: Column) -> Column:
