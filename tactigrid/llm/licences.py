@@ -88,13 +88,18 @@ def grams(w: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, key: str) -> DataFrame:
-    """(key, row, paragraph number, line number, text) of all paragraphs that hold anything, whose line number is null, and of the lines of those of several."""
+    """(key, row, paragraph number, line number, words) of all paragraphs that hold anything, whose line number is null, and of the lines of those of several."""
     x = docs.select(key, F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n|\r\s*\r")).alias("paragraph", "block"))
     x = x.where(F.btrim("block", F.lit(" \t\r\n\f\x0b")) != "")
     lines = F.split(F.btrim("block", F.lit(" \t\r\n\f\x0b")), r"[\n\r]+")
-    units = let(lines, lambda a: F.when(F.size(a) > 1, F.concat(F.array(F.array_join(a, " ")), a)).otherwise(a))
-    x = x.select(key, "row", "paragraph", F.posexplode(units).alias("unit", "line"))
-    return x.where(F.btrim("line") != "").select(key, "row", "paragraph", F.when(F.col("unit") > 0, F.col("unit") - 1).alias("line_number"), "line")
+    # A line end parts words, so a paragraph's words are those of its lines, which are cut once.
+    cut = F.transform(lines, lambda a: F.struct(a.alias("line"), words(a).alias("words")))
+    whole = lambda a: F.struct(F.array_join(a["line"], " ").alias("line"), F.flatten(a["words"]).alias("words"))
+    units = let(cut, lambda a: F.when(F.size(a) > 1, F.concat(F.array(whole(a)), a)).otherwise(a))
+    x = x.select(key, "row", "paragraph", F.posexplode(units).alias("number", "unit"))
+    x = x.where(F.btrim("unit.line") != "")
+    return x.select(key, "row", "paragraph", F.when(F.col("number") > 0, F.col("number") - 1).alias("line_number"), "unit.words")
+
 
 
 def overlaps(w: Column) -> dict[str, Column]:
@@ -153,8 +158,8 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     data.unpersist()
 
     named = [key, "row", "paragraph", "line_number"]
-    x = lines.select(*named, "line", let(words(F.col("line")), grams).alias("grams"))
-    x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "line", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
+    x = lines.select(*named, "words", let(F.col("words"), grams).alias("grams"))
+    x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "words", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
     x = x.withColumn("family", F.when(F.col("probability") >= level, F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1)).otherwise(OTHER))
     def match(w: Column) -> Column:
         out = F.lit(None).cast("double")
@@ -162,16 +167,16 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
             out = F.when(F.col("family") == family, part).otherwise(out)
         return out
 
-    x = x.withColumn("overlap", let(words(F.col("line")), match))
+    x = x.withColumn("overlap", match(F.col("words")))
     x = x.withColumn("confirmed", F.coalesce(F.col("overlap") >= OVERLAP, F.lit(False)))
     sure = F.when(F.col("confirmed"), 2).when(F.col("probability") >= level, 1).otherwise(0)
-    x = x.select(*named, "family", "probability", "overlap", "confirmed", sure.alias("sure"), "guess", "line")
+    x = x.select(*named, "family", "probability", "overlap", "confirmed", sure.alias("sure"), "guess", "words")
     of = W.partitionBy("row", "paragraph")
     whole = F.col("line_number").isNull()
     x = x.withColumn("whole", F.max(F.when(whole, F.struct("sure", "family", "guess"))).over(of)).withColumn("best", F.max(F.when(~whole, F.col("sure"))).over(of))
     # An unsure line is a piece of the paragraph's notice if most of its words are those of the family's notices.
     own = F.array(*[F.array_distinct(words(F.lit(" ".join(notices)))) for notices in [*NOTICES.values(), OTHERS]])
-    piece = let(F.array_distinct(words(F.col("line"))), lambda w: F.size(F.array_intersect(w, F.get(own, F.col("whole.guess") - 1))) >= OVERLAP * F.size(w))
+    piece = let(F.array_distinct("words"), lambda w: F.size(F.array_intersect(w, F.get(own, F.col("whole.guess") - 1))) >= OVERLAP * F.size(w))
     other = (F.col("family") != F.col("whole.family")) & ((F.col("sure") > 0) | ~piece)
     apart = F.col("whole").isNull() | (F.col("sure") > F.col("whole.sure")) | other
     x = x.where(F.when(whole, F.coalesce(F.col("best") <= F.col("sure"), F.lit(True))).otherwise(apart))
