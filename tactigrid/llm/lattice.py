@@ -4,13 +4,14 @@ The pieces are those of an existing byte-level vocabulary. A word of a text is t
 b" " + word; its probability is the sum, over all ways to cut it into pieces, of the product of the
 pieces' probabilities. Pieces never cross words, so a text's log-probability is the sum over its
 words and one end, which is a symbol of the same distribution.
-A whole training word is one more arc from its begin to its end, weighted by its discounted count;
-the mass that discounting frees goes to the pieces' arcs. This is done once for each class of texts
-above the pooled counts, and a text's probability is the sum over the classes: all counts come from
-all training texts by grouped aggregation.
-
-The vocabulary's own scores are its ranks (Zipf's law); EM over all distinct training words turns
-them into probabilities.
+Each class of texts (by declared language) has its own probabilities of the pieces. A whole training
+word is one more arc from its begin to its end, weighted by its discounted count in the class; the
+mass that discounting frees goes to the pieces' arcs and, a small part, to the pooled counts. A text's
+probability is the sum over the classes: all counts come from all training texts by grouped
+aggregation, discounts from how many words occur once and twice.
+
+The vocabulary's own scores are its ranks (Zipf's law), from which EM over the distinct training
+words of each class starts.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ from . import store, text
 FREQUENT = 131_072
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
-ITERATIONS = 2
+ITERATIONS = 3
+#: Discount where no word occurs once or none twice.
 DISCOUNT = 0.6
+#: Part of the freed mass that goes to the pooled counts.
+POOLED = 0.02
 #: Classes of texts at most: the most frequent declared languages and the rest.
 CLASSES = 8
 #: Added to each piece's expected count.
-ALPHA = 0.05
+ALPHA = 0.005
 #: Bytes of a word from which it is scored alone.
 LONG = 48
 ZIPF_SHIFT = 50.0
@@ -78,10 +82,14 @@ class Pieces:
 
 
 class Lattice:
-    """Log-space forward and backward sums over the segmentations of words, for all words of one length at once."""
+    """Log-space forward and backward sums over the segmentations of words, for all words of one length at once.
+
+    logp holds the pieces' log-probabilities, or a row of them for each class.
+    """
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.pieces, self.logp, self.longest = Pieces(pieces), np.append(logp, -np.inf), max(map(len, pieces))
+        logp = np.atleast_2d(logp)
+        self.pieces, self.logp, self.longest = Pieces(pieces), np.hstack([logp, np.full((len(logp), 1), -np.inf)]), max(map(len, pieces))
 
     def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words of one length: their places, their bytes' start in a buffer, and the buffer; long words come alone."""
@@ -95,58 +103,71 @@ class Lattice:
                 at = same[i : i + step]
                 yield at, n * np.arange(len(at)), np.frombuffer(b"".join([words[k] for k in at]), np.uint8)
 
-    def arcs(self, start: np.ndarray, n: int, buf: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For each end j: the piece ids (words x starts i from max(0, j - longest)) and their log-probabilities."""
+    def arcs(self, start: np.ndarray, n: int, buf: np.ndarray) -> dict[int, np.ndarray]:
+        """For each end j: the piece ids (words x starts i from max(0, j - longest)), -1 where there is none."""
         out = {}
         for j in range(1, n + 1):
             i = np.arange(max(0, j - self.longest), j)
             begins = (start[:, None] + i).ravel()
-            ids = self.pieces.find(text.span_hashes(buf, begins, np.repeat(start + j, len(i)))).reshape(len(start), len(i))
-            out[j] = ids, self.logp[ids]
+            out[j] = self.pieces.find(text.span_hashes(buf, begins, np.repeat(start + j, len(i)))).reshape(len(start), len(i))
         return out
 
     @staticmethod
-    def forward(arcs: dict[int, tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
+    def forward(arcs: dict[int, np.ndarray], logp: np.ndarray, words: int) -> np.ndarray:
         """alpha[:, j]: log of the summed probability of all segmentations of the first j bytes."""
         alpha = np.zeros((words, len(arcs) + 1))
-        for j, (ids, lp) in arcs.items():
-            alpha[:, j] = log_sum(alpha[:, j - ids.shape[1] : j] + lp)
+        for j, ids in arcs.items():
+            alpha[:, j] = log_sum(alpha[:, j - ids.shape[1] : j] + logp[ids])
         return alpha
 
-    def log_probs(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words))
+    def log_probs_by(self, words: list[bytes]) -> np.ndarray:
+        """Words x classes."""
+        out = np.zeros((len(words), len(self.logp)))
         for at, start, buf in self.groups(words):
             n = len(words[at[0]])
-            out[at] = self.forward(self.arcs(start, n, buf), len(at))[:, -1] if n <= LONG else [self.log_prob(words[k]) for k in at]
+            if n > LONG:
+                for i in at:
+                    out[i] = self.log_prob_by(words[i])
+                continue
+            arcs = self.arcs(start, n, buf)
+            for k, logp in enumerate(self.logp):
+                out[at, k] = self.forward(arcs, logp, len(at))[:, -1]
         return out
 
-    def log_prob(self, word: bytes) -> float:
-        """The same for one word of any length, in memory that grows with it only linearly."""
-        buf, n, alpha = np.frombuffer(word, np.uint8), len(word), np.zeros(len(word) + 1)
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        return self.log_probs_by(words)[:, 0]
+
+    def log_prob_by(self, word: bytes) -> np.ndarray:
+        """By class, the same for one word of any length, in memory that grows with it only linearly."""
+        buf, n, alpha = np.frombuffer(word, np.uint8), len(word), np.zeros((len(self.logp), len(word) + 1))
         for j in range(1, n + 1):
             i = np.arange(max(0, j - self.longest), j)
-            alpha[j] = log_sum(alpha[None, i] + self.logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
-        return float(alpha[-1])
+            alpha[:, j] = log_sum(alpha[:, i] + self.logp[:, self.pieces.find(self.sums(word, buf, i, j))])
+        return alpha[:, -1]
+
+    def log_prob(self, word: bytes) -> float:
+        return float(self.log_prob_by(word)[0])
 
     @staticmethod
     def sums(word: bytes, buf: np.ndarray, i: np.ndarray, j: int) -> np.ndarray:
         return text.span_hashes(buf[i[0] : j], i - i[0], np.full(len(i), j - i[0]))
 
-    def expected(self, words: list[bytes], into: np.ndarray) -> None:
-        """Adds each piece's expected number of uses in one copy of each word."""
+    def expected(self, words: list[bytes], into: np.ndarray, k: int = 0) -> None:
+        """Adds each piece's expected number of uses, by class k, in one copy of each word."""
+        logp = self.logp[k]
         for at, start, buf in self.groups(words):
             n = len(words[at[0]])
             if n > LONG:
-                for k in at:
-                    self.expected_long(words[k], into)
+                for i in at:
+                    self.expected_long(words[i], into, k)
                 continue
             arcs = self.arcs(start, n, buf)
-            alpha = self.forward(arcs, len(at))
+            alpha = self.forward(arcs, logp, len(at))
             beta = np.full_like(alpha, -np.inf)
             beta[:, n] = 0.0
             for j in range(n, 0, -1):
-                ids, lp = arcs[j]
-                through = lp + beta[:, j : j + 1]
+                ids = arcs[j]
+                through = logp[ids] + beta[:, j : j + 1]
                 i = j - ids.shape[1]
                 self.tally(into, ids, np.exp(alpha[:, i:j] + through - alpha[:, -1:]))
                 beta[:, i:j] = np.logaddexp(beta[:, i:j], through)
@@ -156,17 +177,18 @@ class Lattice:
         hit = ids >= 0
         into += np.bincount(ids[hit], x[hit], minlength=len(into))
 
-    def expected_long(self, word: bytes, into: np.ndarray) -> None:
+    def expected_long(self, word: bytes, into: np.ndarray, k: int = 0) -> None:
+        logp = self.logp[k]
         buf, n = np.frombuffer(word, np.uint8), len(word)
         spans = [np.arange(max(0, j - self.longest), j) for j in range(1, n + 1)]
         alpha, beta = np.zeros(n + 1), np.full(n + 1, -np.inf)
         for j, i in enumerate(spans, 1):
-            alpha[j] = log_sum(alpha[None, i] + self.logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
+            alpha[j] = log_sum(alpha[None, i] + logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
         beta[n] = 0.0
         for j in range(n, 0, -1):
             i = spans[j - 1]
             ids = self.pieces.find(self.sums(word, buf, i, j))
-            through = self.logp[ids] + beta[j]
+            through = logp[ids] + beta[j]
             self.tally(into, ids, np.exp(alpha[i] + through - alpha[n]))
             beta[i] = np.logaddexp(beta[i], through)
 
@@ -204,37 +226,69 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
     )
 
 
-def train(words: DataFrame, pieces: list[bytes], iterations: int = ITERATIONS) -> tuple[np.ndarray, float]:
-    """Log-probabilities of the pieces and of the end, by EM over the distinct training words.
-
-    Each distinct word weighs the same, as the pieces stand for words that were not seen.
+def train(words: DataFrame, pieces: list[bytes], classes: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """By class, log-probabilities of the pieces and of the end, by EM over the class's distinct training words.
 
-    What comes to the driver is one row per piece, so at most the vocabulary.
+    Each distinct word weighs the same, as the pieces stand for words that were not seen. A class
+    without words keeps the vocabulary's scores. What comes to the driver is at most one row for each
+    piece and class.
     """
     sc = words.sparkSession.sparkContext
-    k = len(pieces)
-    p = 1.0 / (np.arange(k) + ZIPF_SHIFT)
-    logp, end = np.log(p / p.sum()), math.log(0.5)
-    seen = words.where("c > 0").select("word")
+    n = len(pieces)
+    p = 1.0 / (np.arange(n) + ZIPF_SHIFT)
+    logp, end = np.tile(np.log(p / p.sum()), (classes, 1)), np.full(classes, math.log(0.5))
+    seen = words.where("c > 0").select("word", "by")
     for _ in range(iterations):
         model = sc.broadcast((pieces, logp))
 
         def expect(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            lattice, into = Lattice(*model.value), np.zeros(k)
+            lattice, into = Lattice(*model.value), np.zeros((classes, n))
             for b in batches:
-                lattice.expected([b" " + bytes(w) for w in b["word"]], into)
-            at = np.flatnonzero(into)
-            yield pd.DataFrame({"piece": at, "x": into[at]})
-
-        rows = seen.mapInPandas(expect, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).toPandas()
-        x = np.full(k, ALPHA)
-        x[rows["piece"].to_numpy(int)] += rows["x"].to_numpy(float)
-        total = x.sum() + 1
-        logp, end = np.log(x / total), -math.log(total)
+                spelled = [b" " + bytes(w) for w in b["word"]]
+                of = np.array(b["by"].tolist()).reshape(len(b), classes) > 0
+                for k in range(classes):
+                    lattice.expected([spelled[i] for i in np.flatnonzero(of[:, k])], into[k], k)
+            at = np.nonzero(into)
+            yield pd.DataFrame({"class": at[0], "piece": at[1], "x": into[at]})
+
+        rows = seen.mapInPandas(expect, "class long, piece long, x double").groupBy("class", "piece").agg(F.sum("x").alias("x")).toPandas()
+        x = np.zeros((classes, n))
+        x[rows["class"].to_numpy(int), rows["piece"].to_numpy(int)] = rows["x"].to_numpy(float)
+        found = x.sum(axis=1) > 0
+        total = (x + ALPHA).sum(axis=1) + 1
+        logp = np.where(found[:, None], np.log((x + ALPHA) / total[:, None]), logp)
+        end = np.where(found, -np.log(total), end)
         model.unpersist()
     return logp, end
 
 
+def discount(once: int, twice: int) -> float:
+    """What a word's count loses, by the numbers of words that occur once and twice."""
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+class Weights:
+    """Log-probabilities (base 10) of tokens by class: discounted counts, a little of the pooled ones, and the lattice."""
+
+    def __init__(self, pooled: tuple[int, int, float], by: list[tuple[int, int, float]]):
+        """Of all classes, and by class: training tokens, distinct ones, discount."""
+        self.pooled, self.by = pooled, by
+
+    def log10(self, c: np.ndarray, by: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
+        """Tokens x classes, from the tokens' counts, their counts by class and the lattice's logarithms by class."""
+        n, distinct, d = self.pooled
+        shared, free = (np.maximum(c - d, 0) / n, d * distinct / n) if n else (np.zeros(len(c)), 1.0)
+        out = np.empty_like(log_lattice)
+        for k, (n_k, distinct_k, d_k) in enumerate(self.by):
+            known, left = shared, free
+            if n_k:
+                freed = d_k * distinct_k / n_k
+                known, left = np.maximum(by[:, k] - d_k, 0) / n_k + freed * POOLED * shared, freed * (POOLED * free + 1 - POOLED)
+            with np.errstate(divide="ignore"):
+                out[:, k] = np.logaddexp(np.log(known), np.log(left) + log_lattice[:, k])
+        return out / math.log(10)
+
+
 def score(docs: DataFrame, vocabulary: str, iterations: int = ITERATIONS, frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
     """Scores every row of docs (doc_id, text and, if there, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -259,36 +313,29 @@ def score(docs: DataFrame, vocabulary: str, iterations: int = ITERATIONS, freque
     ends = sum(ends_by.values())
     counts = store.table(word_counts(docs, k_all), "lm-counts")
     seen = lambda c: F.count(F.when(c > 0, 1))
-    each = [x for k in range(k_all) for x in (F.sum(F.col("by")[k]).alias(f"s{k}"), seen(F.col("by")[k]).alias(f"v{k}"))]
-    totals = counts.agg(F.sum("c").alias("s"), seen(F.col("c")).alias("v"), *each).first()
+    times = lambda c, n: F.count(F.when(c == n, 1))
+    each = [x.alias(f"{name}{k}") for k, c in [("", F.col("c")), *[(k, F.col("by")[k]) for k in range(k_all)]] for name, x in (("s", F.sum(c)), ("v", seen(c)), ("once", times(c, 1)), ("twice", times(c, 2)))]
+    totals = counts.agg(*each).first()
     n_train, v = (totals["s"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
-    logp, end_lp = train(counts, pieces, iterations)
+    logp, end_lp = train(counts, pieces, k_all, iterations)
 
     log_norm = math.log10(n_train + 0.5 * (v + 1))
     base_end = math.log10(ends + 0.5) - log_norm
     model = spark.sparkContext.broadcast((pieces, logp))
-    #: By class: training tokens, distinct ones. Absolute discounting leaves DISCOUNT of each distinct token to the model below.
-    sizes = [((totals[f"s{k}"] or 0) + ends_by.get(k, 0), (totals[f"v{k}"] or 0) + (ends_by.get(k, 0) > 0)) for k in range(k_all)]
-
-    def interpolated(c: np.ndarray, n: int, distinct: int, below: np.ndarray) -> np.ndarray:
-        return (np.maximum(c - DISCOUNT, 0) + DISCOUNT * distinct * below) / n if n else below
+    by_class = [((totals[f"s{k}"] or 0) + ends_by.get(k, 0), (totals[f"v{k}"] or 0) + (ends_by.get(k, 0) > 0), discount(totals[f"once{k}"], totals[f"twice{k}"])) for k in range(k_all)]
+    weights = Weights((n_train, v, discount(totals["once"], totals["twice"])), by_class)
 
     def word_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(*model.value)
         for b in batches:
             c, by = b["c"].to_numpy(float), np.array(b["by"].tolist(), float).reshape(len(b), k_all)
-            log_lattice = lattice.log_probs([b" " + bytes(w) for w in b["word"]])
-            p = interpolated(c, n_train, v, np.exp(np.maximum(log_lattice, -600)))
-            p_by = [interpolated(by[:, k], *sizes[k], p) for k in range(k_all)]
-            lp = np.log10(np.column_stack(p_by))
-            low = log_lattice < -600  # below what a double holds: only the lattice's part is left
-            lp[low] = (log_lattice[low] / math.log(10))[:, None] + np.log10(np.column_stack([interpolated(by[low, k], *sizes[k], interpolated(c[low], n_train, v, np.ones(low.sum()))) for k in range(k_all)]))
+            lp = weights.log10(c, by, lattice.log_probs_by([b" " + bytes(w) for w in b["word"]]))
             yield pd.DataFrame({"word": b["word"], "c": b["c"], "n": b["n"], "base": np.log10(c + 0.5) - log_norm, "lp": list(lp)})
 
     words = store.table(counts.mapInPandas(word_scores, "word binary, c long, n long, base double, lp array<double>"), "lm-words")
-    end_p = interpolated(np.array([ends]), n_train, v, np.exp([end_lp]))
-    prior = [math.log10((ends_by.get(k, 0) + 0.5) / (ends + 0.5 * k_all)) for k in range(k_all)]
-    end_by = [float(np.log10(interpolated(np.array([ends_by.get(k, 0)]), *sizes[k], end_p))[0]) + prior[k] for k in range(k_all)]
+    prior = np.array([math.log10((ends_by.get(k, 0) + 0.5) / (ends + 0.5 * k_all)) for k in range(k_all)])
+    end_counts = np.array([[ends_by.get(k, 0) for k in range(k_all)]], float)
+    end_by = (weights.log10(np.array([float(ends)]), end_counts, end_lp[None])[0] + prior).tolist()
 
     level = F.floor(F.log2("n") * 8)  # at most 512 levels
     levels = sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True)
