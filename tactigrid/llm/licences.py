@@ -2,7 +2,7 @@
 
 Paragraphs (between blank lines, their line ends folded) and the lines of those that have several become sparse vectors of hashed word n-grams; multinomial logistic regression
 gives a probability for each licence family, for other licences and for no licence. It is fitted on
-the notices below, cut and reworded by rule, and on a bounded sample of the corpus's own paragraphs
+the notices below, cut and reworded by rule, and on a bounded sample of the corpus's own lines
 as examples of no licence. A family's probability must reach a level that held-out wordings set;
 licence paragraphs below it are "unknown". Comparison with the family's notices confirms or not.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .fingerprint import let
 
 FEATURES = 1 << 14
-#: Paragraphs of the corpus that stand for no licence, about, at most.
+#: Documents whose last line stands for no licence, about, at most.
 SAMPLE = 4000
 #: Part of a notice's words that a paragraph holds at least, to be confirmed.
 OVERLAP = 0.6
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     few = docs if n <= sample else docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
     one = few.select(F.try_element_at(F.filter(F.split("text", r"[\n\r]+"), lambda s: F.btrim(s) != ""), F.lit(-1)).alias("line")).where("line is not null")
     cues = F.col("line").rlike(r"(?i)\blicen[sc]e|copyright|all rights reserved|public domain|\bGPL\b|\bMIT\b|creative commons")
-    negative = one.where(~cues).select(F.lit(NONE).alias("label"), F.left("line", F.lit(2000)).alias("line"), F.lit(False).alias("held"))
+    negative = one.where(~cues).select(F.lit(NONE).alias("label"), "line", F.lit(False).alias("held"))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
     code = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
     data = hashed.transform(made.unionByName(negative).select("label", "held", let(words(F.col("line")), grams).alias("grams"), code.alias("code")))

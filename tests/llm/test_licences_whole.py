@@ -14,3 +14,10 @@ def test_wrapped_notices_are_read_whole(spark):
     assert [by(i) for i in range(5)] == [[(1, "mit")], [(0, "bsd")], [(0, "mit")], [(0, "mit")], []]
     assert any(r["doc_id"] == 3 and r["line"] == 2 for r in got)
     assert all(sum(r["doc_id"] == i for r in got) == 1 for i in (0, 1))
+
+
+def test_repeats_and_clashing_names(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, PLAIN), (7, notice), (7, notice), (None, notice), (8, f"{PLAIN} " * 600 + "\n\n" + notice)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "'a' AS paragraph", "2 AS line")).collect()
+    assert sorted((r["doc_id"] or 0, r["paragraph"], r["family"], r["confirmed"]) for r in got) == [(0, 0, "mit", True), (7, 0, "mit", True), (7, 0, "mit", True), (8, 1, "mit", True)]
