@@ -166,11 +166,12 @@ class Lattice:
             beta = np.full_like(alpha, -np.inf)
             beta[:, n] = 0.0
             for j in range(n, 0, -1):
-                ids = arcs[j]
-                through = logp[ids] + beta[:, j : j + 1]
-                i = j - ids.shape[1]
-                self.tally(into, ids, np.exp(alpha[:, i:j] + through - alpha[:, -1:]))
-                beta[:, i:j] = np.logaddexp(beta[:, i:j], through)
+                # Few spans are pieces; only these are summed.
+                w, i = np.nonzero(arcs[j] >= 0)
+                ids, i = arcs[j][w, i], i + j - arcs[j].shape[1]
+                through = logp[ids] + beta[w, j]
+                into += np.bincount(ids, np.exp(alpha[w, i] + through - alpha[w, -1]), minlength=len(into))
+                beta[w, i] = np.logaddexp(beta[w, i], through)
 
     @staticmethod
     def tally(into: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
