@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, egrid, fingerprint, language, lattice, licences, mixing, parity, urls, wordtrie
+from . import bpe, chat, egrid, fingerprint, language, lattice, licences, louds, mixing, mtree, parity, urls, wordtrie
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = "byte_bpe_multi_50k.tiktoken"
@@ -66,12 +66,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search_every(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return louds.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordtrie.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_lm_scoring, op2_document_fingerprints, op3_source_mixing, op4_language_id, op5_chat_formatting, op6_embedding_near_duplicates, op7_ngram_jaccard_join, op8_url_filters, op9_licence_scan, op10_byte_bpe, op13_importance_resampling, pipeline)
+    found = (op1_lm_scoring, op2_document_fingerprints, op3_source_mixing, op4_language_id, op5_chat_formatting, op6_embedding_near_duplicates, op7_ngram_jaccard_join, op8_url_filters, op9_licence_scan, op10_byte_bpe, op11_exact_top_k, op12_prefix_trie, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in found}
 
 
