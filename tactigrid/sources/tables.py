@@ -33,3 +33,22 @@ def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the last published version."""
     version = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("at"), "version").first()["version"]
     return spark.read.parquet(f"{folder}/versions/{version}/{name}")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine only where a local session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read back, so that its lineage ends here and a lost executor costs no rerun."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
