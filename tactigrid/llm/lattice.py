@@ -53,32 +53,48 @@ def load_pieces(path: str) -> list[bytes]:
     return [base64.b64decode(a) for a, _ in sorted(pairs, key=lambda x: int(x[1]))]
 
 
+#: Odd multipliers: of a span's hash for each byte more, and of a hash for its slot.
+ROLL, SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+
 class Pieces:
-    """Ids of pieces by their 64-bit hashes: tables of slots, each holding what found no free slot in those before."""
+    """Ids of pieces by rolling 64-bit hashes of their bytes: tables of slots, each holding what found its slot taken in those before."""
 
     def __init__(self, pieces: list[bytes]):
-        ends = np.cumsum([len(p) for p in pieces])
-        hashes = text.span_hashes(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate(([0], ends[:-1])), ends)
-        self.hashes, self.tables = hashes, []
+        size = np.array([len(p) for p in pieces], np.int64)
+        buf, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        self.hashes = np.zeros(len(pieces), np.uint64)
+        for j in range(int(size.max(initial=0))):
+            at = np.flatnonzero(size > j)
+            self.hashes[at] = self.rolled(self.hashes[at], buf[starts[at] + j])
+        self.tables = []
         bits, rest = max(4, (16 * len(pieces)).bit_length()), np.arange(len(pieces))
         while len(rest):
-            table, slots = np.full(1 << bits, -1, np.int32), self.slots(hashes[rest], bits, len(self.tables))
+            table, slots = np.full(1 << bits, -1, np.int32), self.slots(self.hashes[rest], bits, len(self.tables))
             table[slots] = rest
             rest = rest[table[slots] != rest]
             self.tables.append((bits, table))
 
+    @staticmethod
+    def rolled(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The hashes of spans that go on with these bytes; the empty span's is 0."""
+        return h * ROLL + (byte.astype(np.uint64) + np.uint64(1))
+
     @staticmethod
     def slots(h: np.ndarray, bits: int, k: int) -> np.ndarray:
-        return ((h << np.uint64(7 * k)) >> np.uint64(64 - bits)).astype(np.int64)
+        return (((h * SPREAD) << np.uint64(7 * k)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The ids, -1 where there is no such piece."""
-        out = np.full(h.shape, -1, np.int32)
+        out, left, flat = np.full(h.size, -1, np.int32), None, np.ravel(h)
         for k, (bits, table) in enumerate(self.tables):
-            got = table[self.slots(h, bits, k)]
-            hit = (got >= 0) & (self.hashes[got] == h)
-            out[hit] = got[hit]
-        return out
+            got = table[self.slots(flat, bits, k)]
+            taken = np.flatnonzero(got >= 0)
+            hit = self.hashes[got[taken]] == flat[taken]
+            at = taken if left is None else left[taken]
+            out[at[hit]] = got[taken[hit]]
+            left, flat = at[~hit], flat[taken[~hit]]  # only what another piece keeps from its slot can be further on
+        return out.reshape(h.shape)
 
 
 class Lattice:
@@ -105,13 +121,20 @@ class Lattice:
 
     def arcs(self, start: np.ndarray, n: int, buf: np.ndarray) -> dict[int, np.ndarray]:
         """For each end j: the piece ids (words x starts i from max(0, j - longest)), -1 where there is none."""
-        out = {}
+        out, h = {}, np.zeros((len(start), n), np.uint64)
         for j in range(1, n + 1):
-            i = np.arange(max(0, j - self.longest), j)
-            begins = (start[:, None] + i).ravel()
-            out[j] = self.pieces.find(text.span_hashes(buf, begins, np.repeat(start + j, len(i)))).reshape(len(start), len(i))
+            first = max(0, j - self.longest)
+            h[:, first:j] = self.pieces.rolled(h[:, first:j], buf[start + j - 1][:, None])
+            out[j] = self.pieces.find(h[:, first:j])
         return out
 
+    def spans(self, word: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for one word, end by end: the starts and the piece ids."""
+        h = np.zeros(0, np.uint64)
+        for j, byte in enumerate(np.frombuffer(word, np.uint8)[:, None], 1):
+            h = self.pieces.rolled(np.append(h, np.uint64(0))[-self.longest :], byte)
+            yield np.arange(j - len(h), j), self.pieces.find(h)
+
     @staticmethod
     def forward(arcs: dict[int, np.ndarray], logp: np.ndarray, words: int) -> np.ndarray:
         """alpha[:, j]: log of the summed probability of all segmentations of the first j bytes."""
@@ -139,19 +162,14 @@ class Lattice:
 
     def log_prob_by(self, word: bytes) -> np.ndarray:
         """By class, the same for one word of any length, in memory that grows with it only linearly."""
-        buf, n, alpha = np.frombuffer(word, np.uint8), len(word), np.zeros((len(self.logp), len(word) + 1))
-        for j in range(1, n + 1):
-            i = np.arange(max(0, j - self.longest), j)
-            alpha[:, j] = log_sum(alpha[:, i] + self.logp[:, self.pieces.find(self.sums(word, buf, i, j))])
+        alpha = np.zeros((len(self.logp), len(word) + 1))
+        for j, (i, ids) in enumerate(self.spans(word), 1):
+            alpha[:, j] = log_sum(alpha[:, i] + self.logp[:, ids])
         return alpha[:, -1]
 
     def log_prob(self, word: bytes) -> float:
         return float(self.log_prob_by(word)[0])
 
-    @staticmethod
-    def sums(word: bytes, buf: np.ndarray, i: np.ndarray, j: int) -> np.ndarray:
-        return text.span_hashes(buf[i[0] : j], i - i[0], np.full(len(i), j - i[0]))
-
     def expected(self, words: list[bytes], into: np.ndarray, k: int = 0) -> None:
         """Adds each piece's expected number of uses, by class k, in one copy of each word."""
         logp = self.logp[k]
@@ -180,15 +198,14 @@ class Lattice:
 
     def expected_long(self, word: bytes, into: np.ndarray, k: int = 0) -> None:
         logp = self.logp[k]
-        buf, n = np.frombuffer(word, np.uint8), len(word)
-        spans = [np.arange(max(0, j - self.longest), j) for j in range(1, n + 1)]
+        n = len(word)
+        spans = list(self.spans(word))
         alpha, beta = np.zeros(n + 1), np.full(n + 1, -np.inf)
-        for j, i in enumerate(spans, 1):
-            alpha[j] = log_sum(alpha[None, i] + logp[self.pieces.find(self.sums(word, buf, i, j))][None])[0]
+        for j, (i, ids) in enumerate(spans, 1):
+            alpha[j] = log_sum(alpha[None, i] + logp[ids][None])[0]
         beta[n] = 0.0
         for j in range(n, 0, -1):
-            i = spans[j - 1]
-            ids = self.pieces.find(self.sums(word, buf, i, j))
+            i, ids = spans[j - 1]
             through = logp[ids] + beta[j]
             self.tally(into, ids, np.exp(alpha[i] + through - alpha[n]))
             beta[i] = np.logaddexp(beta[i], through)
