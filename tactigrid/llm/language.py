@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +38,18 @@ STRENGTH = 20.0
 #: A row is kept if its posterior is this or more and its text is more likely than by chance.
 POSTERIOR = 0.5
 BROADCAST_ROWS = 200_000
+#: Rows whose texts are read together.
+ROWS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that no more texts than these become Python's."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def trigrams(s: str) -> np.ndarray:
     b = np.frombuffer(s.encode("utf-8", "surrogatepass").translate(text.LOWER), np.uint8).astype(np.uint32)
     if len(b) < 3:
@@ -86,17 +95,17 @@ def fit(rows: DataFrame, id_columns: list[str], sample: int) -> tuple[list[str],
     cuts = rows.sparkSession.createDataFrame([(r["declared"], max(r["first"], SPACE * most // r["n"])) for r in found], "declared string, cut long")
     labelled = labelled.join(F.broadcast(cuts), "declared").where("at <= cut")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in batches:
-            for d, t in zip(b["declared"], b["text"], strict=True):
+        for b in parts(batches):
+            for d, t in zip(b.column("declared").to_pylist(), b.column("text").to_pylist(), strict=True):
                 n = np.bincount(trigrams(t), minlength=BUCKETS)
                 seen[d] = seen[d] + n if d in seen else n
         for d, n in seen.items():
             j = np.flatnonzero(n)
-            yield pd.DataFrame({"i": np.full(len(j), place[d]), "j": j, "n": n[j].astype(float)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), place[d], np.int32)), pa.array(j.astype(np.int32)), pa.array(n[j].astype(float))], ["i", "j", "n"])
 
-    got = labelled.select("declared", "text").mapInPandas(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    got = labelled.select("declared", "text").mapInArrow(count, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     x = np.full((BUCKETS, len(names)), 0.05)
     x[got["j"], got["i"]] += got["n"]
     return names, np.log(x / x.sum(0))
@@ -120,25 +129,24 @@ def identify(rows: DataFrame, id_columns: list[str], sample: int = SAMPLE) -> Da
     model = rows.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
     chance = -np.log(BUCKETS)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                s = t if isinstance(t, str) else ""
-                if not _LETTER.search(s):
-                    out.append((np.zeros(n), False))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sums, likely = np.zeros((b.num_rows, n)), np.zeros(b.num_rows, bool)
+            for k, t in enumerate(b.column("text").to_pylist()):
+                if not t or not _LETTER.search(t):
                     continue
-                x, total = trigrams(s), np.zeros(n)
-                for i in range(0, len(x), 1 << 16):
-                    total += model.value[x[i : i + (1 << 16)]].sum(0, dtype=np.float64)
+                x, total = trigrams(t), np.zeros(n)
+                for i in range(0, len(x), 1 << 14):
+                    total += model.value[x[i : i + (1 << 14)]].sum(0, dtype=np.float64)
                 mean = total / len(x)
-                out.append((mean * min(len(x), MOST) * TEMPER, bool(mean.max() > chance)))
-            ll, likely = zip(*out, strict=True) if out else [()] * 2
-            yield b.drop(columns="text").assign(ll=list(ll), likely=np.array(likely, bool))
+                sums[k], likely[k] = mean * min(len(x), MOST) * TEMPER, mean.max() > chance
+            ll = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n, dtype=np.int32)), pa.array(sums.ravel()))
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ll, pa.array(likely)], [*names, "ll", "likely"])
 
     kinds = dict(rows.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*id_columns, "declared", "suffix", "host"])
-    x = store.table(rows.mapInPandas(score, f"{fields}, ll array<double>, likely boolean"), "language-text")
+    x = store.table(rows.mapInArrow(score, f"{fields}, ll array<double>, likely boolean"), "language-text")
     best = F.array_position("ll", F.array_max("ll")).cast("int") - 1
     x = x.withColumn("best", best).withColumn("domain", F.regexp_replace("host", r"^[^.]*\.(?=.*\.)", ""))
     sure = x.where("likely")
