@@ -23,11 +23,11 @@ def play_area(x: Column, y: Column, width: float, length: float, interior: float
     return F.when(inside >= interior, "inside_play").when(out <= boundary, "boundary_transient").otherwise("outside_play")
 
 
-def box_overlap(a: list[Column], b: list[Column]) -> tuple[Column, Column]:
-    """IoU and containment (by the smaller area) of boxes x1, y1, x2, y2."""
+def box_overlap(a: list[Column], b: list[Column], least: float = 1.0) -> tuple[Column, Column]:
+    """IoU and containment (by the smaller area) of boxes x1, y1, x2, y2; sides are `least` long at least (a pixel), also of boxes turned around."""
     zero = F.lit(0.0)
     common = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    area = lambda r: F.greatest(zero, r[2] - r[0]) * F.greatest(zero, r[3] - r[1])
+    area = lambda r: F.greatest(F.lit(least), r[2] - r[0]) * F.greatest(F.lit(least), r[3] - r[1])
     return F.coalesce(F.try_divide(common, area(a) + area(b) - common), zero), F.coalesce(F.try_divide(common, F.least(area(a), area(b))), zero)
 
 

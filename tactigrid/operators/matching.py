@@ -23,8 +23,8 @@ def pairs_in_frame(df: DataFrame, frame: str, id_: str, columns: list[str]) -> D
 
 
 def upsert(base: DataFrame, reviews: DataFrame, key: str, field: str, allowed: list[str], default: str) -> DataFrame:
-    """base with field from the reviews (one row a key), else its own; values not allowed become the default."""
-    r = reviews.select(key, F.col(field).alias("review_"))
+    """base with field from the reviews, else its own; values not allowed become the default. Of repeated reviews of a key the largest value counts."""
+    r = reviews.groupBy(key).agg(F.max(field).alias("review_"))
     x = base.join(r, key, "left").withColumn(field, F.coalesce("review_", field)).drop("review_")
     return x.withColumn(field, F.when(F.col(field).isin(allowed), F.col(field)).otherwise(F.lit(default)))
 

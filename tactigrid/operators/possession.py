@@ -37,8 +37,11 @@ def possession(near: DataFrame, control: float = 1.8, contested: float = 2.4, de
     return x.withColumn("player", F.when(mine, one["player"])).withColumn("team", F.when(mine, one["team"]))
 
 
-def segments(frames: DataFrame, sequence: list[str], frame: str, t: str) -> DataFrame:
-    """Runs of the same status, player and team: start and stop frame, frames, mean and least distance, ball path, displacement, time, speed, straightness."""
+def segments(frames: DataFrame, sequence: list[str], frame: str, t: str, fps: float = 30.0) -> DataFrame:
+    """Runs of the same status, player and team: start and stop frame, frames, mean and least distance, ball path, displacement, seconds, speed, straightness.
+
+    seconds are frames times the sequence's interval, which is its first step of frames at fps; the speed goes by the times of the first and the last frame.
+    """
     w = ordered(sequence, frame)
     x = islands(frames, sequence, frame, frame, ["status", "player", "team"])
     step = F.sqrt((F.col("bx") - F.lag("bx").over(w)) * (F.col("bx") - F.lag("bx").over(w)) + (F.col("by") - F.lag("by").over(w)) * (F.col("by") - F.lag("by").over(w)))
@@ -47,11 +50,14 @@ def segments(frames: DataFrame, sequence: list[str], frame: str, t: str) -> Data
     s = x.groupBy(*sequence, "island", "status", "player", "team").agg(
         F.min(frame).alias("start_frame"), F.max(frame).alias("stop_frame"), F.count(F.lit(1)).alias("frames"),
         F.count(F.when(F.col("detected"), 1)).alias("detected_frames"), F.avg("first_m").alias("mean_m"), F.min("first_m").alias("least_m"),
-        F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_m"), (F.max(t) - F.min(t)).alias("seconds"),
+        F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_m"), (F.max(t) - F.min(t)).alias("span_"),
         at(F.min, "bx").alias("x0"), at(F.min, "by").alias("y0"), at(F.max, "bx").alias("x1"), at(F.max, "by").alias("y1"),
     )
+    ahead = frames.select(*sequence, F.col(frame).alias("f_"), (F.lead(frame).over(w) - F.col(frame)).alias("step_")).where("step_ > 0")
+    interval = ahead.groupBy(*sequence).agg((F.min(F.struct("f_", "step_"))["step_"] / fps).alias("interval_"))
+    s = s.join(interval, sequence, "left").withColumn("seconds", F.col("frames") * F.coalesce("interval_", F.lit(1.0 / fps))).drop("interval_")
     moved = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
-    s = s.withColumn("speed", F.col("path_m") / F.greatest("seconds", F.lit(0.001)))
+    s = s.withColumn("speed", F.col("path_m") / F.greatest("span_", F.lit(0.001))).drop("span_")
     return s.withColumn("straightness", moved / F.greatest("path_m", F.lit(0.001)))
 
 

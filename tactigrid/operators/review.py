@@ -13,10 +13,15 @@ def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def overlay(base: DataFrame, layers: list[DataFrame], key: list[str], fields: list[str]) -> DataFrame:
-    """base with the fields of the highest layer that has the row's key; a null in a layer overrides too."""
+    """base with the fields of the highest layer that has the row's key; a null in a layer overrides too.
+
+    Of a layer's rows with the same key the largest by fields counts (the last in their order); use
+    latest() first where an order of time should decide. Null keys match nothing.
+    """
     out = base
     for i, layer in enumerate(layers):
-        side = layer.select(*key, *[F.col(f).alias(f"{f}_{i}") for f in fields], F.lit(True).alias(f"hit_{i}"))
+        one = layer.groupBy(*key).agg(F.max(F.struct(*fields)).alias("r_"))
+        side = one.select(*key, *[F.col(f"r_.{f}").alias(f"{f}_{i}") for f in fields], F.lit(True).alias(f"hit_{i}"))
         out = out.join(side, key, "left")
         for f in fields:
             out = out.withColumn(f, F.when(F.col(f"hit_{i}"), F.col(f"{f}_{i}")).otherwise(F.col(f)))

@@ -5,8 +5,6 @@ All windows are partitioned by an entity; none orders a whole table. Ties are br
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,18 +62,25 @@ def asof_backward(left: DataFrame, right: DataFrame, entity: list[str], t: str,
 
 
 def asof_lagged(df: DataFrame, entity: list[str], t: str, tie: str, value: str, lag: float, most: float, slack: float) -> DataFrame:
-    """df with lagged_value: of the entity's earlier rows, at most `most` back, the one nearest to `lag` back within `slack`; the earlier on a tie."""
-    w = ordered(entity, t).rangeBetween(-math.ceil(most), 0)
-    past = F.filter(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("id"), F.col(value).alias("v"))).over(w), lambda p: (p["t"] < F.col(t)) & (F.col(t) - p["t"] <= most) & (F.abs(F.col(t) - p["t"] - lag) <= slack))
-    ranked = F.array_min(F.transform(past, lambda p: F.struct(F.abs(F.col(t) - p["t"] - lag).alias("d"), p["t"].alias("t"), p["id"].alias("id"), p["v"].alias("v"))))
-    return df.withColumn("lagged_value", ranked["v"])
+    """df with lagged_value: of the entity's earlier rows, at most `most` back, the one nearest to `lag` back within `slack`; the earlier on a tie, of equal times the smaller tie. Times count in microseconds; entity has no nulls."""
+    us = lambda s: round(s * 1e6)
+    x = df.withColumn("us_", F.round(F.col(t) * 1e6).cast("long"))
+    w, one = ordered(entity, "us_"), F.struct(F.col("us_").alias("t"), F.col(tie).alias("id"), F.col(value).alias("v"))
+    # The first row of the latest time at or before the lag, and the first row after it.
+    span = lambda f, c, a, b: F.when(F.lit(a <= b), f(c).over(w.rangeBetween(a, max(a, b))))
+    x = x.withColumn("at_", span(F.max, "us_", -min(us(lag + slack), us(most)), -us(lag)).cast("long"))
+    x = x.withColumn("after_", span(F.min, one, max(1 - us(lag), -us(most)), min(us(slack - lag), -1)))
+    first = df.groupBy(*entity, F.round(F.col(t) * 1e6).cast("long").alias("at_")).agg(F.min(F.struct(F.col(tie).alias("id"), F.col(value).alias("v")))["v"].alias("before_"))
+    x = x.join(first, [*entity, "at_"], "left")
+    nearer = F.col("at_").isNotNull() & (F.col("after_").isNull() | (F.col("us_") - F.col("at_") - us(lag) <= us(lag) - (F.col("us_") - F.col("after_.t"))))
+    return x.withColumn("lagged_value", F.when(nearer, F.col("before_")).otherwise(F.col("after_.v"))).select(*df.columns, "lagged_value")
 
 
 def next_where(df: DataFrame, entity: list[str], t: str, tie: str, condition: Column, within: float) -> DataFrame:
     """df with next_t: the time of the entity's first later row, at most within ahead, that satisfies condition."""
-    w = ordered(entity, t).rangeBetween(0, math.ceil(within))
-    ahead = F.collect_list(F.when(condition, F.col(t))).over(w)
-    return df.withColumn("next_t", F.array_min(F.filter(ahead, lambda x: (x > F.col(t)) & (x <= F.col(t) + within))))
+    x = df.withColumn("us_", F.round(F.col(t) * 1e6).cast("long"))
+    w = ordered(entity, "us_").rangeBetween(1, round(within * 1e6))
+    return x.withColumn("next_t", F.min(F.when(condition, F.col(t))).over(w)).drop("us_")
 
 
 def periods_of(df: DataFrame, periods: DataFrame, t: str, closed: bool = False) -> DataFrame:
@@ -122,18 +127,26 @@ def bounded_pairs(df: DataFrame, entity: list[str], t: str, tie: str, ahead: int
     return x.where("n.b is not null").select(*entity, "a", F.col("n.b").alias("b"), F.col("n.rank").alias("rank"), F.col("n.gap").alias("gap"))
 
 
-def interpolate(df: DataFrame, entity: list[str], t: str, tie: str, value: str, most: float) -> DataFrame:
-    """df with filled and source: a null value between two known ones at most `most` apart is interpolated in time."""
+def interpolate(df: DataFrame, entity: list[str], t: str, tie: str, value: str, most: float, speed: float | None = None, confidence: str | None = None) -> DataFrame:
+    """df with filled and source: a null value between two known ones at most `most` apart, which change no faster than speed, is interpolated in time.
+
+    With confidence named, sure is that column where the value is known, 0.55 of the smaller one of both ends where it is filled, and else 0.
+    """
     w = ordered(entity, t, tie)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v"), *([F.coalesce(confidence, F.lit(0.0)).alias("c")] if confidence else [])))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
     x = df.withColumn("before", a).withColumn("after", b)
     inside = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("after.t") - F.col("before.t") <= most) & (F.col("after.t") > F.col("before.t"))
+    if speed is not None:
+        inside = inside & (F.abs(F.col("after.v") - F.col("before.v")) / (F.col("after.t") - F.col("before.t")) <= speed)
     line = F.col("before.v") + (F.col("after.v") - F.col("before.v")) * (F.col(t) - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))
     x = x.withColumn("filled", F.when(F.col(value).isNotNull(), F.col(value)).when(inside, line))
     source = F.when(F.col(value).isNotNull(), "detected").when(F.col("filled").isNotNull(), "interpolated").otherwise("unknown")
-    return x.withColumn("source", source).drop("before", "after")
+    x = x.withColumn("source", source)
+    if confidence:
+        x = x.withColumn("sure", F.when(F.col("source") == "detected", F.coalesce(confidence, F.lit(0.0))).when(F.col("source") == "interpolated", F.least("before.c", "after.c") * 0.55).otherwise(0.0))
+    return x.drop("before", "after")
 
 
 def downsample(df: DataFrame, entity: list[str], t: str, tie: str, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .ranges import points_in
-from .sequence import ordered
+from .sequence import ordered, sessionize
 
 
 def moving_average(df: DataFrame, entity: list[str], t: str, tie: str, value: str, before: int, after: int) -> DataFrame:
@@ -57,11 +57,18 @@ def cumulative_share(df: DataFrame, entity: list[str], t: str, tie: str, value:
     return x.withColumn("share", F.try_divide("so_far", "all_")).drop("all_")
 
 
-def speed_ahead(df: DataFrame, entity: list[str], t: str, id_: str, value: str, least: float, most: float) -> DataFrame:
-    """(entity, id, top): the greatest |change| / time from a row to one that is least to most later; rows without one are left out."""
+def speed_ahead(df: DataFrame, entity: list[str], t: str, id_: str, value: str, least: float, most: float, gap: float | None = None, limit: float | None = None) -> DataFrame:
+    """(entity, id, top): the greatest |change| / time from a row to one that is least to most later, up to limit; rows without one are left out.
+
+    No window goes across a step of more than gap, or of a speed beyond limit.
+    """
+    if gap is not None and limit is not None:
+        df, entity = sessionize(df, entity, t, id_, gap, limit, value, 0.001), [*entity, "session"]
     later = df.select(*entity, F.col(t).alias("t_"), F.col(value).alias("v_"))
     spans = df.select(*entity, F.col(id_), F.col(t), F.col(value), (F.col(t) + least).alias("from_"), (F.col(t) + most).alias("to_"))
     x = points_in(later, spans, entity, "t_", "from_", "to_", most)
+    if limit is not None:
+        x = x.where(F.abs(F.col("v_") - F.col(value)) / (F.col("t_") - F.col(t)) <= limit)
     return x.groupBy(*entity, id_).agg(F.max(F.abs(F.col("v_") - F.col(value)) / (F.col("t_") - F.col(t))).alias("top"))
 
 

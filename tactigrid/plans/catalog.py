@@ -48,10 +48,10 @@ def w3(spark, d):
     return x.groupBy("user_id", "island", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start"), F.max("t").alias("stop"))
 
 
-@query("w5_interpolation", EV + ", x AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM e), y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, last_value(v IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1, first_value(v IGNORE NULLS) OVER a AS v1 FROM x WINDOW b AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN t1 - t0 <= 86400 AND t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS filled, CASE WHEN v IS NOT NULL THEN 'detected' WHEN t1 - t0 <= 86400 AND t1 > t0 THEN 'interpolated' ELSE 'unknown' END AS source FROM y")
+@query("w5_interpolation", EV + ", x AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM e), y AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, last_value(v IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1, first_value(v IGNORE NULLS) OVER a AS v1 FROM x WINDOW b AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN t1 - t0 <= 86400 AND t1 > t0 AND abs(v1 - v0) / (t1 - t0) <= 0.002 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS filled, CASE WHEN v IS NOT NULL THEN 'detected' WHEN t1 - t0 <= 86400 AND t1 > t0 AND abs(v1 - v0) / (t1 - t0) <= 0.002 THEN 'interpolated' ELSE 'unknown' END AS source FROM y")
 def w5(spark, d):
     x = events(spark, d).withColumn("v", F.when(F.col("event_type") != "error", F.col("value")))
-    return S.interpolate(x, ["user_id"], "t", "event_id", "v", 24 * HOUR).select("event_id", F.round("filled", 6).alias("filled"), "source")
+    return S.interpolate(x, ["user_id"], "t", "event_id", "v", 24 * HOUR, 0.002).select("event_id", F.round("filled", 6).alias("filled"), "source")
 
 
 @query("j3_period_half_open", "SELECT event_id, CASE WHEN epoch_us(ts) / 1e6 >= 1704067200 AND epoch_us(ts) / 1e6 < 1704931200 THEN 'first' WHEN epoch_us(ts) / 1e6 >= 1704931200 AND epoch_us(ts) / 1e6 < 1705795200 THEN 'second' WHEN epoch_us(ts) / 1e6 >= 1705795200 THEN 'third' END AS period FROM events")
@@ -221,12 +221,12 @@ def p9(spark, d):
     return S.downsample(table(spark, d, "events"), ["user_id"], "ts", "event_id", 10).select("user_id", "event_id")
 
 
-@query("p14_box_overlap", "WITH b AS (SELECT event_id, value AS x1, value + 20 AS x2, lead(value) OVER w AS a1, lead(value) OVER w + 30 AS a2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT *, greatest(0, least(x2, a2) - greatest(x1, a1)) * 10 AS k FROM b WHERE a1 IS NOT NULL) SELECT event_id, round(k / (200 + 300 - k), 6) AS iou, round(k / 200, 6) AS containment FROM c")
+@query("p14_box_overlap", "WITH b AS (SELECT event_id, value AS x1, value + user_id % 3 * 10 AS x2, greatest(1, user_id % 3 * 10) * 10 AS s, lead(value) OVER w AS a1, lead(value) OVER w + 30 AS a2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT *, greatest(0, least(x2, a2) - greatest(x1, a1)) * 10 AS k FROM b WHERE a1 IS NOT NULL) SELECT event_id, round(k / (s + 300 - k), 6) AS iou, round(k / least(s, 300), 6) AS containment FROM c")
 def p14(spark, d):
     ahead = F.lead("value").over(S.ordered(["user_id"], "ts", "event_id"))
-    x = table(spark, d, "events").select("event_id", "value", ahead.alias("other")).where("other is not null")
+    x = table(spark, d, "events").select("event_id", "value", (F.col("user_id") % 3 * 10).alias("wide"), ahead.alias("other")).where("other is not null")
     zero, ten = F.lit(0.0), F.lit(10.0)
-    iou, inside = G.box_overlap([F.col("value"), zero, F.col("value") + 20, ten], [F.col("other"), zero, F.col("other") + 30, ten])
+    iou, inside = G.box_overlap([F.col("value"), zero, F.col("value") + F.col("wide"), ten], [F.col("other"), zero, F.col("other") + 30, ten])
     return x.select("event_id", F.round(iou, 6).alias("iou"), F.round(inside, 6).alias("containment"))
 
 

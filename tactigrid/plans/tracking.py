@@ -75,10 +75,10 @@ stepped AS (SELECT *, CASE WHEN lag(island) OVER (PARTITION BY match ORDER BY f)
 segments0 AS (
   SELECT match, CAST(island AS BIGINT) AS island, status, player, team, min(f) AS start_frame, max(f) AS stop_frame, count(*) AS frames,
          count(*) FILTER (detected) AS detected_frames, avg(first_m) AS mean_m, min(first_m) AS least_m, coalesce(sum(own), 0) AS path_m,
-         max(t) - min(t) AS seconds, arg_min(bx, f) AS x0, arg_min(bz, f) AS y0, arg_max(bx, f) AS x1, arg_max(bz, f) AS y1
+         max(t) - min(t) AS span, count(*) / 30.0 AS seconds, arg_min(bx, f) AS x0, arg_min(bz, f) AS y0, arg_max(bx, f) AS x1, arg_max(bz, f) AS y1
   FROM stepped GROUP BY ALL),
 segments AS (
-  SELECT *, path_m / greatest(seconds, 0.001) AS speed,
+  SELECT *, path_m / greatest(span, 0.001) AS speed,
          sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / greatest(path_m, 0.001) AS straightness FROM segments0),
 flown AS (
   SELECT * REPLACE (CASE WHEN flies THEN 'free' ELSE status END AS status, CASE WHEN NOT flies THEN player END AS player, CASE WHEN NOT flies THEN team END AS team)
@@ -249,9 +249,10 @@ def w9(spark, d):
     return M.cumulative_share(events(spark, d), ["user_id"], "t", "event_id", F.col("value")).select("event_id", "so_far", F.round("share", 6).alias("share"))
 
 
-@query("w11_speed_ahead", EVENTS + " SELECT a.event_id, round(max(abs(b.value - a.value) / (b.t - a.t)), 9) AS top FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t + 3600 AND a.t + 86400 GROUP BY a.event_id")
+@query("w11_speed_ahead", EVENTS + """, g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER w > 43200 OR abs(value - lag(value) OVER w) / greatest(t - lag(t) OVER w, 0.001) > 0.005 THEN 1 ELSE 0 END AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)))
+SELECT a.event_id, round(max(abs(b.value - a.value) / (b.t - a.t)), 9) AS top FROM g a JOIN g b ON a.user_id = b.user_id AND a.run = b.run AND b.t BETWEEN a.t + 3600 AND a.t + 86400 AND abs(b.value - a.value) / (b.t - a.t) <= 0.005 GROUP BY a.event_id""")
 def w11(spark, d):
-    return M.speed_ahead(events(spark, d), ["user_id"], "t", "event_id", "value", 3600.0, DAY).select("event_id", F.round("top", 9).alias("top"))
+    return M.speed_ahead(events(spark, d), ["user_id"], "t", "event_id", "value", 3600.0, DAY, DAY / 2, 0.005).select("event_id", F.round("top", 9).alias("top"))
 
 
 @query("w23_speed_behind", EVENTS + " SELECT a.event_id, round(arg_max(abs(b.value - a.value) / (a.t - b.t), (b.t, b.event_id)), 9) AS speed FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 86400 AND a.t - 3600 AND abs(b.value - a.value) / (a.t - b.t) <= 0.002 GROUP BY a.event_id")

@@ -432,3 +432,40 @@ def test_two_means(spark):
         c = [np.average(x[near == k], axis=0, weights=w[near == k]) for k in (0, 1)]
     assert np.allclose(centres, c) and {r["id"]: r["cluster"] for r in got.collect()} == {**dict(enumerate(near.astype(int).tolist())), 99: None}
     assert teams.two_means(df.where("id = 99"), "id", "f", "w")[1] == []
+
+
+def test_boundary_values(spark):
+    """Hand-made rows at and around the limits of the sequence rules."""
+    from tactigrid.functions import geometry
+    from tactigrid.operators import matching, possession, review, sequence, smoothing
+
+    series = lambda *r: spark.createDataFrame([(0, i, *x) for i, x in enumerate(r)], "e int, id int, t double, v double")
+    # gap of 0.5 and 0.51 s; 22 m/s and more
+    fill = lambda *r: [r["source"] for r in sequence.interpolate(series(*r), ["e"], "t", "id", "v", 0.5, 22.0).orderBy("id").collect()]
+    assert fill((0.0, 0.0), (0.25, None), (0.5, 11.0))[1] == "interpolated" and fill((0.0, 0.0), (0.25, None), (0.51, 1.0))[1] == "unknown"
+    assert fill((0.0, 0.0), (0.25, None), (0.5, 11.01))[1] == "unknown" and fill((0.0, None), (0.1, 1.0))[0] == "unknown"
+    # a step that is too fast, or too long, ends every window
+    top = lambda *r: rows(smoothing.speed_ahead(series(*r), ["e"], "t", "id", "v", 1.0, 3.0, 1.5, 5.0), "id", "top")
+    assert top((0.0, 0.0), (1.0, 4.0), (2.0, 6.0)) == [(0, 4.0), (1, 2.0)] and top((0.0, 0.0), (1.0, 5.01), (2.0, 6.0)) == [(1, pytest.approx(0.99))]
+    assert top((0.0, 0.0), (1.6, 1.0)) == [] and top() == []
+    # the next within: strictly later, the limit included; the nearest to a lag
+    x = series((0.0, 1.0), (0.0, 1.0), (2.0, 1.0), (4.5, 1.0))
+    assert rows(sequence.next_where(x, ["e"], "t", "id", F.col("v") == 1, 2.0), "id", "next_t") == [(0, 2.0), (1, 2.0), (2, None), (3, None)]
+    lagged = lambda *r, **k: dict(rows(sequence.asof_lagged(series(*r), ["e"], "t", "id", "v", 2.0, k.get("most", 4.0), 1.0), "id", "lagged_value"))
+    assert lagged((0.0, 5.0), (0.0, 6.0), (2.0, 7.0), (3.0, 8.0)) == {0: None, 1: None, 2: 5.0, 3: 5.0}
+    assert lagged((0.5, 5.0), (1.5, 6.0), (3.0, 8.0))[2] == 5.0 and lagged((0.0, 5.0), (3.0, 8.0))[1] == 5.0 and lagged((0.0, 5.0), (3.01, 8.0))[1] is None
+    assert lagged((0.0, 5.0), (3.0, 8.0), most=2.5)[1] is None
+    # frames times the interval: one frame lasts as long as any
+    f = spark.createDataFrame([(0, k * 2, k / 15, s, p, "A", 1.0, 0.0, 0.0, True) for k, (s, p) in enumerate([("free", None), ("controlled", "a"), ("controlled", "a"), ("free", None)])], "m int, f int, t double, status string, player string, team string, first_m double, bx double, by double, detected boolean")
+    assert rows(possession.segments(f, ["m"], "f", "t"), "start_frame", "seconds") == [(0, pytest.approx(1 / 15)), (2, pytest.approx(2 / 15)), (6, pytest.approx(1 / 15))]
+    # a side of no length counts as a pixel
+    box = lambda *r: [F.lit(float(v)) for v in r]
+    r = spark.range(1).select(*[c.alias(n) for n, c in zip(("iou", "inside"), geometry.box_overlap(box(0, 0, 2, 2), box(1, 1, 1, 3)), strict=True)]).first()
+    assert (r["iou"], r["inside"]) == (0.0, 0.0)
+    r = spark.range(1).select(geometry.box_overlap(box(0, 0, 2, 2), box(1, 0, 1.5, 2))[1].alias("inside")).first()
+    assert r["inside"] == 0.5
+    # repeated keys of a layer keep the base's rows
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, s string")
+    layer = spark.createDataFrame([(1, "x"), (1, "y"), (1, None), (None, "z")], "k int, s string")
+    assert rows(review.overlay(base, [layer], ["k"], ["s"]), "k", "s") == [(1, "y"), (2, "b"), (None, "c")]
+    assert rows(matching.upsert(base, layer, "k", "s", ["y", "b"], "d"), "k", "s") == [(1, "y"), (2, "b"), (None, "d")]
