@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.operators import assignment, ballpath, coverage, lineage, presence, restarts, teams, timeline, tracker
+from tactigrid.operators import assignment, ballpath, coverage, lineage, momentum, presence, restarts, teams, timeline, tracker
 from tactigrid.operators import possession as P
 from tactigrid.operators import sequence as S
 from tactigrid.operators.components import components
@@ -153,6 +153,45 @@ def e6(spark, d):
     return restarts.restarts(ball, held, players, ["match"], 30.0, 47.4)
 
 
+def pressed(spark, d):
+    """Minutes of a day are seconds of a match of eight users' events: purchases and clicks are control by a team, views passes, signups restarts."""
+    e = table(spark, d, "events").withColumn("s", (S.seconds("ts") - START) / 60)
+    e = e.withColumn("match", F.concat_ws("/", F.floor(F.col("user_id") / 8), F.floor(F.col("s") / 1440))).withColumn("t", F.col("s") % 1440)
+    team, sure = F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"), F.col("event_id") % 100 / 100
+    e = e.withColumn("team", team).withColumn("confidence", sure)
+    status = F.when(F.col("event_type").isin("purchase", "click"), "controlled").when(F.col("event_type") == "error", "unknown").otherwise("free")
+    period, late = F.when(F.col("t") < 720, "first").otherwise("second"), F.col("t") >= 720
+    up = F.when((F.col("team") == "A") != late, "towards_y_max").otherwise("towards_y_min")
+    frames = e.select("match", F.col("event_id").alias("frame"), "t", status.alias("status"), "team", period.alias("period"), up.alias("direction"), "confidence", (F.col("value") / 10).alias("bx"), F.when(F.col("event_id") % 11 > 0, F.col("event_id") * 7 % 50).cast("double").alias("by"))
+    review = F.element_at(F.array(*[F.lit(x) for x in momentum.PASS_REVIEW]), (F.col("event_id") % 4 + 1).cast("int"))
+    passes = e.where("event_type = 'view'").select("match", "t", "team", F.when(F.col("event_id") % 3 == 0, "failed_pass").otherwise("completed_pass").alias("outcome"), review.alias("review_status"), "confidence", (F.col("value") / 10 - 4).alias("forward_m"), F.when(F.col("event_id") % 5 == 0, F.col("event_id") - 1).alias("restart"))
+    restarts_ = e.where("event_type = 'signup'").select("match", F.col("event_id").alias("restart"), "t", "team", F.lit("corner").alias("restart_type"), review.alias("review_status"), "confidence")
+    return frames, passes, restarts_, e.select("match", F.lit(1440.0).alias("duration")).distinct()
+
+
+@query("e7_momentum")
+def e7(spark, d):
+    """E7 with A21 and W8: bins of pressure, smoothed, scored within each match."""
+    x = momentum.momentum(*pressed(spark, d), ["match"], 30.0, 50.0)
+    return x.withColumns({c: F.round(c, 6) for c in ("a_raw", "b_raw", "signed", "confidence", "smooth", "score")})
+
+
+BINS = """WITH e AS (SELECT *, (epoch_us(ts) / 1e6 - 1704067200) / 60 AS s FROM events),
+m AS (SELECT *, (user_id // 8) || '/' || CAST(floor(s / 1440) AS BIGINT) AS match, s % 1440 AS t, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team, event_id % 100 / 100.0 AS c FROM e),
+f AS (SELECT match, t, CAST(least(287, floor(t / 5)) AS INTEGER) AS bin, event_type IN ('purchase', 'click') AS held, team FROM m),
+every AS (SELECT match, CAST(unnest(range(288)) AS INTEGER) AS bin FROM (SELECT DISTINCT match FROM m)),
+n AS (SELECT match, bin, count(*) AS samples, count(*) FILTER (held AND team = 'A') AS a_samples, count(*) FILTER (held AND team = 'B') AS b_samples, max(CASE WHEN held THEN CASE WHEN t < 720 THEN 'first' ELSE 'second' END END) AS period FROM f GROUP BY ALL)
+SELECT every.match, every.bin, coalesce(samples, 0) AS samples, coalesce(a_samples, 0) AS a_samples, coalesce(b_samples, 0) AS b_samples, period FROM every LEFT JOIN n ON every.match = n.match AND every.bin = n.bin"""
+
+
+@query("a21_bins", BINS)
+def a21(spark, d):
+    """The bins' samples and control, empty bins too."""
+    frames, passes, r, matches = pressed(spark, d)
+    x = momentum.bins(momentum.pressure(frames, ["match"], 30.0, 50.0), momentum.event_bonuses(passes, r, ["match"]), matches, ["match"])
+    return x.select("match", "bin", "samples", "a_samples", "b_samples", "period")
+
+
 @query("k4_greedy_coverage")
 def k4(spark, d):
     """K4: users ranked by the hours and types that they add to what the users before cover."""
