@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where a session of one machine names no folder (tests).
 DEFAULT_DIR = "/tmp/checkpoints"
+#: Bytes of the rows that pass to Python together while a table is written; each task holds a few such batches, in and outside the JVM's heap.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,5 +51,11 @@ class Scratch:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_BYTES)
+    conf.set(BATCH_BYTES, str(BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
