@@ -2,9 +2,10 @@
 
 Paragraphs (between blank lines, their line ends folded) and the lines of those that have several become sparse vectors of hashed word n-grams; multinomial logistic regression
 gives a probability for each licence family, for other licences and for no licence. It is fitted on
-the notices below, cut and reworded by rule, and on a bounded sample of the corpus's own lines
-as examples of no licence. A family's probability must reach a level that held-out wordings set;
-licence paragraphs below it are "unknown". Comparison with the family's notices confirms or not.
+the names and texts below, put together by rule, and on sentences of no licence and a bounded sample
+of the corpus's own lines. A family's probability must reach a level that held-out wordings set;
+licence paragraphs below it are "unknown". Comparison with the family's texts and names confirms or not,
+and only if the words are there that tell it from its neighbours, such as a version.
 """
 
 from __future__ import annotations
@@ -21,59 +22,124 @@ from .fingerprint import let
 FEATURES = 1 << 14
 #: Documents whose last line stands for no licence, about, at most.
 SAMPLE = 4000
-#: Part of a notice's words that a paragraph holds at least, to be confirmed.
+#: Part of a text's words that a paragraph holds at least, to be confirmed.
 OVERLAP = 0.6
+#: A paragraph that is not confirmed is some licence from this probability on.
+LEAST = 0.5
 NONE, OTHER = "none", "unknown"
-# Usual licence notices by family.
-NOTICES = {
+# Names of licences by family, paragraphs of their texts and usual notices, other licences, and sentences about licences and other things.
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache Software License 2.0", "Apache licence, v2.0"),
+    "mit": ("MIT License", "MIT", "MIT licence", "Expat License", "MIT/X11 license", "MIT-style license"),
+    "isc": ("ISC License", "ISC", "ISC licence"),
+    "zlib": ("zlib License", "Zlib", "zlib/libpng license"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU General Public License version 3 or later", "GNU GPL version 3", "GPL v3", "GPLv3", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU General Public License version 2 or later", "GNU GPL version 2", "GPL v2", "GPLv2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License version 3", "GNU Library General Public License", "LGPL", "LGPL-2.1-or-later", "LGPLv3", "GNU LGPL"),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "AGPL v3", "AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later", "GNU AGPL version 3"),
+    "bsd": ("BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "BSD license", "BSD", "BSD-3", "BSD-style license", "New BSD license", "Simplified BSD licence"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0", "MPL v2"),
+    "cc-by": ("CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0 Unported License", "CC BY"),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 3.0 License", "CC BY-SA"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 3.0", "CC BY-NC"),
+    "cc0": ("CC0 1.0 Universal", "CC0 1.0", "CC0-1.0", "CC0", "Creative Commons Zero v1.0 Universal"),
+}
+TEXTS = {
     "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache 2.0 license.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "mit": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "This software is licensed under the terms of the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such. This notice may not be removed or altered from any source distribution.",
     ),
     "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
-        "Distributed under the GPL v3 license.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This file is free software; you may redistribute it under the terms of version 3 of the GNU General Public License, as published by the Free Software Foundation.",
     ),
     "gpl-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "Distributed under the terms of the GPL v2 license.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This file is free software; you may redistribute it under the terms of version 2 of the GNU General Public License, as published by the Free Software Foundation.",
     ),
     "lgpl": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "Distributed under the terms of the LGPL.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. See the GNU Lesser General Public License for more details.",
     ),
     "agpl-3.0": (
-        "This work is licensed under the GNU Affero General Public License, version 3.",
-        "Distributed under the AGPL v3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ),
     "bsd": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
     "mpl-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
-        "Licensed under the MPL 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "This file is subject to the Mozilla Public License, version 2.0; a copy of the MPL comes with it.",
     ),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal."),
+    "cc-by": ("You are free to share and adapt the material for any purpose under Creative Commons Attribution 4.0, as long as you give appropriate credit.",),
+    "cc-by-sa": ("You are free to share and adapt the material under Creative Commons Attribution-ShareAlike 4.0, giving appropriate credit and distributing your contributions under the same license.",),
+    "cc-by-nc": ("You are free to share and adapt the material under Creative Commons Attribution-NonCommercial 4.0, giving appropriate credit, but not for commercial purposes.",),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."),
 }
+CARRIERS = (
+    "The sources are licensed under the {}.", "Made available under the {}.", "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "{} licensed.", "Code available under {}.", "This project is governed by the {}.",
+    "You may copy and modify this program under the conditions of the {}.", "License: {}", "The library is released under the {}.", "Use of this file is subject to the {}.", "Provided under {}", "Published by its authors under a {}.", "You can use the library under the {} or newer.", "{} or later, see the file COPYING.", "{}",
+)
 OTHERS = (
+    "Copyright 2019 by the company, all rights are reserved.",
+    "The publisher keeps all rights reserved to it.",
+    "All rights reserved worldwide.",
     "All rights reserved. No part of this work may be reproduced without permission.",
     "Licensed under a custom license; contact the author for the terms.",
     "This document is distributed under its own licence terms.",
     "Use of this content is governed by the terms of the vendor license agreement.",
-    "Copyright the authors. Released under the terms of an internal license.",
+    "Copyright the authors. Made available under the terms of an internal license.",
+    "This software is proprietary and confidential; unauthorised copying is prohibited.",
+    "Licensed to customers under the terms of the end user license agreement.",
+    "Free for personal use only; commercial use requires a paid licence.",
+    "Distributed under the terms of the Eclipse Public License 2.0.",
+    "SPDX-License-Identifier: WTFPL",
+    "The sources are licensed under the Artistic License 2.0.",
+    "Code available under the Boost Software License 1.0.",
+    "This data is provided under the Open Database License.",
+    "License: Unlicense",
+)
+HARD = (
+    "His driving license expired in May and was renewed in June.", "She holds a fishing licence for the river.", "The pub lost its licence after the fire.", "A licence fee is paid by every household each year.",
+    "The copyright office opened at nine.", "They argued about copyright in music for an hour.", "The museum bought the rights to the film.", "He studied physics at MIT for two years.", "MIT students built a boat.",
+    "The apache tribe lived in the south.", "An apache helicopter flew over the town.", "The public was free to walk in the park.", "General public opinion changed in version after version of the story.",
+    "Permission to land was granted to the pilot.", "The warranty on the car covers any damages.", "All visitors must retain the notice they were given.", "The committee published its terms and conditions.",
+    "A lesser man would have stopped.", "The commons were shared by all the farmers.", "He gave credit to the authors of the plan.", "The zero on the clock was broken.", "The council is licensed to collect the tax.",
+    "Doctors must be licensed in this state.", "The software update took an hour.", "Version 2 of the novel was better than version 3.", "The library is open to any person without charge.",
+    "The ship left the harbour at dawn and nobody saw it again.", "We walked along the river until it was dark.", "Most of the bread was gone by noon.", "It takes an hour to reach the village by bus.", "They sold the house and moved to the coast.",
+    "Er ging mit dem Hund in den Park.", "Wir fahren mit der Bahn nach Hause.", "Mit der Zeit wurde es besser und heller.", "Das Haus steht am Ende der Straße.", "Komm mit uns in die Stadt.",
+    "Elle a mis le livre sur la table.", "Nous avons mangé dans le jardin avec nos amis.", "El perro duerme en la casa por la tarde.", "La ciudad está cerca del mar y es muy bonita.", "Il a pris le train de nuit pour rentrer.",
 )
-#: Words around a notice in training examples.
+#: Words of which a notice of the family holds one at least in each group, to be confirmed; and words that none holds.
+NEEDED = {
+    "apache-2.0": (("apache", "license", "licence"),), "mit": (("mit", "expat", "hereby", "substantial", "noninfringement"),), "isc": (("isc", "appear", "disclaims"),), "zlib": (("zlib", "granted", "origin", "held"),),
+    "gpl-3.0": (("3", "v3", "gplv3", "gpl3"), ("gpl", "gplv3", "gpl3", "general")), "gpl-2.0": (("2", "v2", "gplv2", "gpl2"), ("gpl", "gplv2", "gpl2", "general")),
+    "lgpl": (("lesser", "library", "lgpl", "lgplv3", "lgplv2"),), "agpl-3.0": (("affero", "agpl", "agplv3"),), "bsd": (("bsd", "redistribution", "redistributions", "endorse", "disclaimed"),), "mpl-2.0": (("mozilla", "mpl"), ("2", "v2")),
+    "cc-by": (("by", "attribution"),), "cc-by-sa": (("sa", "sharealike"),), "cc-by-nc": (("nc", "noncommercial"),), "cc0": (("cc0", "zero"),),
+}
+BARRED = {"gpl-3.0": ("lesser", "affero", "library"), "gpl-2.0": ("lesser", "affero", "library"), "cc-by": ("sa", "nc", "nd", "sharealike", "noncommercial")}
+#: Words of which one stands beside a licence's bare name.
+CUES = ("license", "licence", "licensed", "licenced", "spdx", "under", "copyright", "governed", "terms")
+#: Words around a text or another licence in training examples.
 FRAMES = ("{}", "Notice: {}", "{} See the file LICENSE for the terms.", "Copyright 2020 The authors. {}", "{} Copyright 2021.", "The text below is free. {}")
 
 
@@ -103,25 +169,42 @@ def paragraphs(docs: DataFrame, key: str) -> DataFrame:
 
 
 def overlaps(w: Column) -> dict[str, Column]:
-    """By family, the largest part of a notice's distinct words that w holds."""
+    """By family, the largest part of a text's distinct words that w holds, or 1 if it holds all of a name's words and a cue."""
+    cue = F.arrays_overlap(w, F.array(*map(F.lit, CUES)))
     out = {}
-    for family, notices in NOTICES.items():
-        parts = []
-        for notice in notices:
-            t = F.array_distinct(words(F.lit(notice)))
-            parts.append(F.size(F.array_intersect(t, w)) / F.size(t))
-        out[family] = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    for family, texts in TEXTS.items():
+        held = lambda t: F.size(F.array_intersect(t, w)) / F.size(t)
+        parts = [held(F.array_distinct(words(F.lit(x)))) for x in texts]
+        names = [F.when(cue & (held(F.array_distinct(words(F.lit(x)))) == 1), 1.0).otherwise(0.0) for x in NAMES[family]]
+        out[family] = F.greatest(*parts, *names)
+    return out
+
+
+def told_apart(w: Column, family: Column) -> Column:
+    """Whether w has the words that tell the family from its neighbours, and none of theirs."""
+    out = F.lit(False)
+    for name, groups in NEEDED.items():
+        fine = F.lit(True)
+        for g in groups:
+            fine = fine & F.arrays_overlap(w, F.array(*map(F.lit, g)))
+        if name in BARRED:
+            fine = fine & ~F.arrays_overlap(w, F.array(*map(F.lit, BARRED[name])))
+        out = F.when(family == name, fine).otherwise(out)
     return out
 
 
 def examples(spark) -> list[tuple[str, str, bool]]:
-    """(label, text, held out) of the notices and other licences in all frames; each frame is held out for one notice in turn."""
+    """(label, text, held out): names in all carriers, texts and other licences in all frames, sentences of no licence. A name's whole line of carriers, or a carrier, is held out for some families in turn, and so is each frame for one text in turn."""
     rows = []
-    for label, notices in [*NOTICES.items(), (OTHER, OTHERS)]:
-        for i, notice in enumerate(notices):
+    for f, (label, names) in enumerate(NAMES.items()):
+        for i, name in enumerate(names):
+            for j, carrier in enumerate(CARRIERS):
+                rows.append((label, carrier.format(name), j % len(NAMES) == f % len(CARRIERS) or i == 1 + f % max(1, len(names) - 1) and j % 3 == 0))
+    for label, texts in [*TEXTS.items(), (OTHER, OTHERS)]:
+        for i, t in enumerate(texts):
             for j, frame in enumerate(FRAMES):
-                rows.append((label, frame.format(notice), j == 1 + i % (len(FRAMES) - 1)))
-    return rows
+                rows.append((label, frame.format(t), j == 1 + i % (len(FRAMES) - 1)))
+    return rows + [(NONE, frame.format(t), False) for t in HARD for frame in ("{}", "The text below is free. {}")]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -131,27 +214,27 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     besides if it is of another family and no piece of the paragraph's notice, and instead if the paragraph as a whole is no licence
     or less sure.
 
-    family is "unknown" for a licence of no known family or of too low a probability; then overlap is
+    family is "unknown" for a licence of no known family, or of too low a probability that no text or name confirms; then overlap is
     null and confirmed false. Null and empty texts have no paragraphs; a paragraph of any length is
     read whole. Repeated rows give repeated rows; null keys stay null. Further columns are ignored;
     an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    labels = [NONE, *NOTICES, OTHER]
+    labels = [NONE, *NAMES, OTHER]
     made = spark.createDataFrame(examples(spark), "label string, line string, held boolean")
     lines = paragraphs(docs, key)
     # Of the documents, not the paragraphs, a part is read; a notice in it would teach the wrong label.
     n = docs.count()
     few = docs if n <= sample else docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
     one = few.select(F.try_element_at(F.filter(F.split("text", r"[\n\r]+"), lambda s: F.btrim(s) != ""), F.lit(-1)).alias("line")).where("line is not null")
-    cues = F.col("line").rlike(r"(?i)\blicen[sc]e|copyright|all rights reserved|public domain|\bGPL\b|\bMIT\b|creative commons")
-    negative = one.where(~cues).select(F.lit(NONE).alias("label"), "line", F.lit(False).alias("held"))
+    cues = F.col("line").rlike(r"(?i)licen[sc]|copyright|rights reserved|public domain|gpl|creative commons|\bcc0|\bcc[ -]by|apache|mozilla|\bmpl\b|\bbsd\b|zlib|spdx|permission|as[ -]is\b|warrant|redistribut|substantial portions|\bISC\b") | F.col("line").rlike(r"\bMIT\b")
+    negative = one.where(~cues).select(F.lit(NONE).alias("label"), "line", F.lit(False).alias("held"), F.lit(True).alias("corpus"))
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
     code = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
-    data = hashed.transform(made.unionByName(negative).select("label", "held", let(words(F.col("line")), grams).alias("grams"), code.alias("code")))
-    weight = F.when(F.col("label") == NONE, 0.2).otherwise(1.0)
+    data = hashed.transform(made.withColumn("corpus", F.lit(False)).unionByName(negative).select("label", "held", "corpus", let(words(F.col("line")), grams).alias("grams"), code.alias("code")))
+    weight = F.when((F.col("label") == NONE) & F.col("corpus"), 0.2).otherwise(1.0)
     data = data.select("code", "held", "features", weight.alias("weight")).coalesce(4).cache()
-    model = LogisticRegression(labelCol="code", featuresCol="features", weightCol="weight", regParam=1e-4, maxIter=40, family="multinomial", probabilityCol="p", rawPredictionCol="raw", predictionCol="guess").fit(data.where("not held"))
+    model = LogisticRegression(labelCol="code", featuresCol="features", weightCol="weight", regParam=1e-4, maxIter=100, family="multinomial", probabilityCol="p", rawPredictionCol="raw", predictionCol="guess").fit(data.where("not held"))
     # The level: nine tenths of the held-out wordings' right classes reach it.
     right = model.transform(data.where("held")).select(F.get(vector_to_array("p"), F.col("code").cast("int")).alias("q"))
     level = min(0.9, right.agg(F.percentile("q", F.lit(0.1))).first()[0] or 0.5)
@@ -160,7 +243,8 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     named = [key, "row", "paragraph", "line_number"]
     x = lines.select(*named, "words", let(F.col("words"), grams).alias("grams"))
     x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "words", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
-    x = x.withColumn("family", F.when(F.col("probability") >= level, F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1)).otherwise(OTHER))
+    x = x.withColumn("family", F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1))
+
     def match(w: Column) -> Column:
         out = F.lit(None).cast("double")
         for family, part in overlaps(w).items():
@@ -168,14 +252,17 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
         return out
 
     x = x.withColumn("overlap", match(F.col("words")))
-    x = x.withColumn("confirmed", F.coalesce(F.col("overlap") >= OVERLAP, F.lit(False)))
+    x = x.withColumn("confirmed", F.coalesce((F.col("overlap") >= OVERLAP) & told_apart(F.col("words"), F.col("family")), F.lit(False)))
+    held = (F.col("probability") >= level) | F.col("confirmed")
+    x = x.withColumns({"family": F.when(held, F.col("family")).otherwise(OTHER), "overlap": F.when(held, F.col("overlap"))})
+    x = x.where(F.col("confirmed") | (F.col("probability") >= LEAST))
     sure = F.when(F.col("confirmed"), 2).when(F.col("probability") >= level, 1).otherwise(0)
     x = x.select(*named, "family", "probability", "overlap", "confirmed", sure.alias("sure"), "guess", "words")
     of = W.partitionBy("row", "paragraph")
     whole = F.col("line_number").isNull()
     x = x.withColumn("whole", F.max(F.when(whole, F.struct("sure", "family", "guess"))).over(of)).withColumn("best", F.max(F.when(~whole, F.col("sure"))).over(of))
     # An unsure line is a piece of the paragraph's notice if most of its words are those of the family's notices.
-    own = F.array(*[F.array_distinct(words(F.lit(" ".join(notices)))) for notices in [*NOTICES.values(), OTHERS]])
+    own = F.array(*[F.array_distinct(words(F.lit(" ".join(known)))) for known in [*((*TEXTS[f], *NAMES[f]) for f in NAMES), OTHERS]])
     piece = let(F.array_distinct("words"), lambda w: F.size(F.array_intersect(w, F.get(own, F.col("whole.guess") - 1))) >= OVERLAP * F.size(w))
     other = (F.col("family") != F.col("whole.family")) & ((F.col("sure") > 0) | ~piece)
     apart = F.col("whole").isNull() | (F.col("sure") > F.col("whole.sure")) | other
