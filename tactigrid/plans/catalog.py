@@ -11,7 +11,7 @@ from tactigrid.functions import geometry as G
 from tactigrid.operators import aggregates as A
 from tactigrid.operators import motion, review
 from tactigrid.operators import sequence as S
-from tactigrid.plans import play, rules, scalars, tracking  # noqa: F401  they register their queries
+from tactigrid.plans import play, rules, scalars, stores, tracking  # noqa: F401  they register their queries
 from tactigrid.plans.registry import ORACLE, QUERIES, query
 from tactigrid.sources.tables import table
 from tactigrid.streaming import windows

@@ -19,11 +19,15 @@ def documents(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """All tables under a new version; the manifest row that names it is written last."""
+    """All tables under a new version; the manifest row that names it is written last. If one of them fails, what was written goes and readers keep the version before."""
     version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/versions/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/versions/{version}/{name}")
+    except Exception:
+        remove(spark, f"{folder}/versions/{version}")
+        raise
     row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
     row.write.mode("append").parquet(f"{folder}/manifest")
     return version
