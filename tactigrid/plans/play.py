@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.operators import assignment, ballpath, coverage, lineage, momentum, presence, restarts, teams, timeline, tracker
+from tactigrid.operators import assignment, ballpath, coverage, lineage, linking, momentum, presence, restarts, selection, teams, timeline, tracker
 from tactigrid.operators import possession as P
 from tactigrid.operators import sequence as S
 from tactigrid.operators.components import components
@@ -96,6 +96,42 @@ def g3(spark, d):
     return assignment.linked(links(spark, d), "source", "target", "cost", "key").drop("component")
 
 
+def fragments(spark, d):
+    """tracklets() of eight users as those of a match: an hour is a second, values and users are places."""
+    x = tracklets(spark, d)
+    return x.select(
+        F.floor(F.col("user_id") / 8).cast("long").alias("match"), "id", ((F.col("start") - START) / 3600).alias("start"), ((F.col("stop") - START) / 3600).alias("stop"), (F.col("v0") / 20).alias("x0"), (F.col("user_id") % 8).cast("double").alias("y0"),
+        (F.col("v1") / 20).alias("x1"), (F.col("user_id") % 8).cast("double").alias("y1"), F.element_at(F.array(*map(F.lit, "ABU")), (F.col("id") % 3 + 1).cast("int")).alias("team"), *[(F.col("id") * k % 256).cast("double").alias(c) for k, c in ((1, "red"), (7, "green"), (13, "blue"))],
+    )
+
+
+@query("j23_chains")
+def j23(spark, d):
+    """Tracklets chained to players in order of time."""
+    return linking.chained(fragments(spark, d), ["match"])
+
+
+@query("g6_accepted_links")
+def g6(spark, d):
+    """Candidate links accepted in order of cost under the constraints of chains."""
+    t = fragments(spark, d).select("id", "start", "stop", "team")
+    return linking.accepted(links(spark, d), t, gap=6.0).select("key", "reason")
+
+
+@query("k5_diverse_frames")
+def k5(spark, d):
+    """K5: each match's most useful frames of ten minutes, apart from each other."""
+    e = events(spark, d, 600)
+    x = e.groupBy(F.col("event_type").alias("match"), "frame").agg((F.max("event_id") % 100 / 100).alias("quality"), (F.max("user_id") % 5).alias("domain"), F.collect_set("user_id").alias("subjects"))
+    return selection.diverse(x.withColumn("t", F.col("frame") * 600.0), ["match"], 30 * 86400.0, 40, 7200.0, 0.3)
+
+
+@query("k6_spaced_sample")
+def k6(spark, d):
+    """K6: a seeded sample of each match's frames, a day's eighth apart."""
+    return selection.spaced_sample(events(spark, d, 600).select(F.col("event_type").alias("match"), "frame"), ["match"], 100, 18, "review")
+
+
 def candidates(spark, d):
     e = events(spark, d, 600)
     return e.select(F.col("event_type").alias("match"), "frame", F.col("event_id").alias("id"), (F.col("value") / 10).alias("x"), (F.col("user_id") % 30).cast("double").alias("y"), (F.col("event_id") % 100 / 100).alias("confidence"))
