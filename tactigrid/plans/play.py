@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.operators import assignment, ballpath, coverage, lineage, linking, momentum, presence, restarts, selection, teams, timeline, tracker
+from tactigrid.operators import assignment, ballpath, coverage, lineage, linking, momentum, presence, resolved, restarts, selection, teams, timeline, tracker
 from tactigrid.operators import possession as P
 from tactigrid.operators import sequence as S
 from tactigrid.operators.components import components
@@ -355,6 +355,53 @@ def w14_time(spark, d):
     return presence.playing_time(w14(spark, d), 2.0)
 
 
+def claimed(spark, d):
+    """Users of a pair share a subject; runs of events within 30 hours are assignments, some of them too long."""
+    fragments_, rows, _, _ = appearances(spark, d)
+    a = fragments_.select(F.concat_ws("-", "player", "fragment").alias("assignment"), "subject", "player", (F.col("player") % 3).cast("string").alias("team"), (F.col("player") * 7 % 10 / 10).alias("sure"), "start", (F.col("stop") + F.col("player") % 5 * 12).alias("stop"))
+    r = rows.groupBy("subject", "frame").agg(F.max(F.struct("confidence", "source", "x", "y")).alias("e"))
+    return a, r.select("subject", "frame", "e.source", F.lit(True).alias("inside"), F.col("e.y").cast("int") % 4 > 0, "e.confidence", "e.x", "e.y").toDF("subject", "frame", "source", "inside", "trusted", "confidence", "x", "y")
+
+
+@query("j19_resolved_rows")
+def j19(spark, d):
+    """Each player's rows from the slots assigned to them."""
+    return resolved.resolved_rows(*claimed(spark, d))
+
+
+CARRIED = """WITH c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS k1, event_type AS k2, user_id % 50 AS k3 FROM events WHERE event_type <> 'error'),
+r AS (SELECT user_id AS k1, event_type AS k2, event_id % 50 AS k3, CASE WHEN value > 50 THEN 'accepted' ELSE 'rejected' END AS status FROM events WHERE event_type = 'error' OR value > 200),
+r1 AS (SELECT k1, count(*) AS n, max(status) AS s FROM r GROUP BY k1), r2 AS (SELECT k2, k3, count(*) AS n, max(status) AS s FROM r GROUP BY k2, k3)
+SELECT event_id, CASE WHEN r1.n IS NOT NULL THEN CASE WHEN r1.n = 1 THEN r1.s END WHEN r2.n = 1 THEN r2.s END AS status, CASE WHEN coalesce(r1.n, r2.n) = 1 THEN 'restored' WHEN coalesce(r1.n, r2.n) > 1 THEN 'ambiguous_existing_review' END AS migration, CASE WHEN r1.n IS NOT NULL THEN 'k1' WHEN r2.n IS NOT NULL THEN 'k2+k3' END AS matched_by
+FROM c LEFT JOIN r1 ON c.k1 = r1.k1 LEFT JOIN r2 ON c.k2 = r2.k2 AND c.k3 = r2.k3"""
+
+
+@query("r2_carried_reviews", CARRIED)
+def r2(spark, d):
+    """R2: reviews carried over by the first key that matches."""
+    e = table(spark, d, "events")
+    c = e.where("event_type != 'error'").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("k1"), F.col("event_type").alias("k2"), (F.col("user_id") % 50).alias("k3"))
+    r = e.where("event_type = 'error' or value > 200").select(F.col("user_id").alias("k1"), F.col("event_type").alias("k2"), (F.col("event_id") % 50).alias("k3"), F.when(F.col("value") > 50, "accepted").otherwise("rejected").alias("status"))
+    return resolved.carried_over(c, r, "event_id", [("k1",), ("k2", "k3")], ["status"]).drop("k1", "k2", "k3")
+
+
+@query("r4_point_in_time", "WITH v AS (SELECT user_id, ts, max(value) AS price FROM events WHERE event_type = 'signup' GROUP BY ALL) SELECT e.event_id, v.price FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts")
+def r4(spark, d):
+    """What held for a user at the time of each purchase."""
+    e = table(spark, d, "events")
+    points = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    versions = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("value").alias("price"))
+    return resolved.as_of(points, versions, ["user_id"], "ts", "since", ["price"]).select("event_id", "price")
+
+
+@query("r4_changed_rows", "SELECT user_id, day, 'changed' AS change FROM (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE user_id = 7)")
+def r4_changed(spark, d):
+    """The rows of a snapshot whose meaning a change of the source has changed."""
+    sums = lambda x: x.groupBy("user_id", "day").agg(F.sum(F.col("value").cast("decimal(28,2)")).alias("total"), F.max("event_id").alias("note"))
+    old, new = (resolved.snapshot(sums(x), ["user_id", "day"], ["total"]) for x in revised(spark, d))
+    return resolved.changed(old, new.withColumn("note", F.lit(0)), ["user_id", "day"]).withColumn("day", F.col("day").cast("string"))
+
+
 @query("g1_two_means")
 def g1(spark, d):
     """G1: embeddings in two groups, heavier labels counting more."""
