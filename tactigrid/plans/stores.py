@@ -55,7 +55,7 @@ def s3(spark, d):
     x.select(F.col("user_id").alias("user"), text.alias("value")).repartition("user").write.partitionBy("user").text(at)
     # Files that tie are told apart by name; the names end in random letters after the user.
     found = D.objects(spark, at, "user_id long, match_date string, created_at string").withColumn("file", F.regexp_extract("file", r"user=(\d+)", 1))
-    return D.latest_first(found, "match_date", "created_at").select("user_id", "place")
+    return D.latest_first(found, "match_date", "created_at").select("user_id", F.col("place").cast("long").alias("place"))
 
 
 @query("s5_packages", "SELECT user_id, count(*) AS n, CAST(max(value) + CASE WHEN user_id % 5 = 0 THEN 1000 ELSE 0 END AS DOUBLE) AS top FROM events WHERE user_id % 7 > 0 GROUP BY user_id")
