@@ -97,7 +97,7 @@ TEXTS = {
 }
 CARRIERS = (
     "The sources are licensed under the {}.", "Made available under the {}.", "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "{} licensed.", "Code available under {}.", "This project is governed by the {}.",
-    "You may copy and modify this program under the conditions of the {}.", "License: {}", "The library is released under the {}.", "Use of this file is subject to the {}.", "Provided under {}", "Published by its authors under a {}.", "You can use the library under the {} or newer.", "{} or later, see the file COPYING.", "{}",
+    "You may copy and modify this program under the conditions of the {}.", "License: {}", "The library is released under the {}.", "Use of this file is subject to the {}.", "Provided under {}", "Published by its authors under a {}.", "You can use the library under the {} or newer.", "{} or later, see the file COPYING.",
 )
 OTHERS = (
     "Copyright 2019 by the company, all rights are reserved.",
@@ -120,7 +120,7 @@ OTHERS = (
 )
 HARD = (
     "His driving license expired in May and was renewed in June.", "She holds a fishing licence for the river.", "The pub lost its licence after the fire.", "A licence fee is paid by every household each year.",
-    "The copyright office opened at nine.", "They argued about copyright in music for an hour.", "The museum bought the rights to the film.", "He studied physics at MIT for two years.", "MIT students built a boat.",
+    "The copyright office opened at nine.", "They argued about copyright in music for an hour.", "The museum bought the rights to the film.", "He studied physics at MIT for two years.", "MIT students built a boat.", "She got her degree from MIT in 1990.", "The campus of MIT is by the river.", "MIT researchers wrote a long paper.", "My brother teaches at MIT and likes to travel.",
     "The apache tribe lived in the south.", "An apache helicopter flew over the town.", "The public was free to walk in the park.", "General public opinion changed in version after version of the story.",
     "Permission to land was granted to the pilot.", "The warranty on the car covers any damages.", "All visitors must retain the notice they were given.", "The committee published its terms and conditions.",
     "A lesser man would have stopped.", "The commons were shared by all the farmers.", "He gave credit to the authors of the plan.", "The zero on the clock was broken.", "The council is licensed to collect the tax.",
@@ -139,6 +139,8 @@ NEEDED = {
 BARRED = {"gpl-3.0": ("lesser", "affero", "library"), "gpl-2.0": ("lesser", "affero", "library"), "cc-by": ("sa", "nc", "nd", "sharealike", "noncommercial")}
 #: Words of which one stands beside a licence's bare name.
 CUES = ("license", "licence", "licensed", "licenced", "spdx", "under", "copyright", "governed", "terms")
+#: With these, words of which one stands in any licence; a paragraph without one is none unless it is confirmed.
+OTHER_CUES = ("rights", "proprietary", "permission", "permitted", "warranty", "warranties", "redistribute", "redistribution", "domain", "unlicense", "reproduced")
 #: Words around a text or another licence in training examples.
 FRAMES = ("{}", "Notice: {}", "{} See the file LICENSE for the terms.", "Copyright 2020 The authors. {}", "{} Copyright 2021.", "The text below is free. {}")
 
@@ -255,7 +257,7 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     x = x.withColumn("confirmed", F.coalesce((F.col("overlap") >= OVERLAP) & told_apart(F.col("words"), F.col("family")), F.lit(False)))
     held = (F.col("probability") >= level) | F.col("confirmed")
     x = x.withColumns({"family": F.when(held, F.col("family")).otherwise(OTHER), "overlap": F.when(held, F.col("overlap"))})
-    x = x.where(F.col("confirmed") | (F.col("probability") >= LEAST))
+    x = x.where(F.col("confirmed") | ((F.col("probability") >= LEAST) & F.arrays_overlap("words", F.array(*map(F.lit, (*CUES, *OTHER_CUES))))))
     sure = F.when(F.col("confirmed"), 2).when(F.col("probability") >= level, 1).otherwise(0)
     x = x.select(*named, "family", "probability", "overlap", "confirmed", sure.alias("sure"), "guess", "words")
     of = W.partitionBy("row", "paragraph")
