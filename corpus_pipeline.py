@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tactigrid.llm import bpe, language, mixing, parity, store
@@ -15,8 +16,15 @@ ROW = "pipeline_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written with it, for a doc_id may be null or stand in several rows."""
-    return store.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with a number for each row, for a doc_id may be null or stand in several rows: by file and place where docs is a table just read, else of a copy written with the numbers."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return store.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    file, place = f"{ROW}_file", f"{ROW}_place"
+    files = docs.select(F.col("_metadata.file_path").alias(file)).distinct()
+    files = store.table(files.withColumn(ROW, F.row_number().over(W.orderBy(file)).cast("long")), "pipeline-files")  # a row for each file
+    side = F.broadcast(files) if files.count() <= BROADCAST_ROWS else files
+    x = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)).join(side, file)
+    return x.withColumn(ROW, F.shiftleft(ROW, 40) + F.col(place)).select(*docs.columns, ROW)
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
