@@ -243,7 +243,10 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     data.unpersist()
 
     named = [key, "row", "paragraph", "line_number"]
-    x = lines.select(*named, "words", let(F.col("words"), grams).alias("grams"))
+    # Nothing else can come out: a row is confirmed, for which it needs one of its family's words, or has a cue.
+    telling = sorted({*CUES, *OTHER_CUES, *(w for groups in NEEDED.values() for w in groups[0])})
+    x = lines.where(F.arrays_overlap("words", F.array(*map(F.lit, telling))))
+    x = x.select(*named, "words", let(F.col("words"), grams).alias("grams"))
     x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "words", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
     x = x.withColumn("family", F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1))
 
