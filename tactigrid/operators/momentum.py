@@ -52,15 +52,14 @@ def pressure(frames: DataFrame, sequence: list[str], width: float, length: float
     x = x.withColumn("before_", before)
     same = F.col("before_.on") & F.col("before_.team").eqNullSafe(F.col("team")) & F.col("before_.period").eqNullSafe(F.col("period")) & F.col("before_.direction").eqNullSafe(F.col("direction")) & (F.col("t") - F.col("before_.t") <= GAP)
     x = x.withColumn("run_", F.sum(F.when(F.col("progress").isNull() | F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("before_")
-    scored = x.where("progress is not null").select(*sequence, "frame", "t", "run_", "progress")
-    back = asof_lagged(scored, [*sequence, "run_"], "t", "frame", "progress", BACK, GAP, SLACK).select(*sequence, "frame", "lagged_value")
+    # Rows without progress are apart from the others of their run, so the rest need not be joined to them again.
+    x = asof_lagged(x.withColumn("on_", F.col("progress").isNotNull()), [*sequence, "run_", "on_"], "t", "frame", "progress", BACK, GAP, SLACK)
     axis = F.when(F.col("direction").isin("towards_y_min", "towards_y_max"), length).otherwise(width)
-    x = x.join(back, [*sequence, "frame"], "left")
     made = clamp((F.col("progress") - F.col("lagged_value")) * axis / FULL_M, 0.0, 1.0)
     bonus = F.when(F.col("lagged_value").isNotNull(), made * MOST_BONUS)
     x = x.withColumn("bonus", F.when(F.col("progress").isNotNull(), F.coalesce(bonus, F.lit(0.0))))
     sure = clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0)
-    return x.withColumn("pressure", sure * (BASE + WEIGHT * F.pow("progress", F.lit(EXPONENT)) + F.col("bonus"))).drop("run_", "lagged_value", "controlled_")
+    return x.withColumn("pressure", sure * (BASE + WEIGHT * F.pow("progress", F.lit(EXPONENT)) + F.col("bonus"))).drop("run_", "on_", "lagged_value", "controlled_")
 
 
 def event_bonuses(passes: DataFrame, restarts: DataFrame, sequence: list[str]) -> DataFrame:
@@ -70,7 +69,7 @@ def event_bonuses(passes: DataFrame, restarts: DataFrame, sequence: list[str]) -
     ahead = F.least(F.lit(PROGRESSIVE), F.greatest(F.lit(0.0), F.coalesce("forward_m", F.lit(0.0))) / PROGRESSIVE_M * PROGRESSIVE) * F.when(made, 1.0).otherwise(0.2)
     p = passes.where(F.col("outcome").isin("completed_pass", "failed_pass") & F.col("team").isin("A", "B"))
     p = p.select(*sequence, "t", "team", ((F.when(made, COMPLETED).otherwise(FAILED) + ahead) * sure * multiplier(F.col("review_status"), PASS_REVIEW)).alias("bonus"), sure.alias("confidence"))
-    used = passes.where("restart is not null").select(*sequence, "restart").distinct()
+    used = passes.where("restart is not null").select(*sequence, "restart").distinct().hint("merge")
     r = restarts.join(used, [*sequence, "restart"], "left_anti").where(F.col("restart_type").isin("corner", "kick_in") & F.col("team").isin("A", "B"))
     r = r.select(*sequence, "t", "team", (RESTART * sure * multiplier(F.col("review_status"), RESTART_REVIEW)).alias("bonus"), sure.alias("confidence"))
     return p.unionByName(r).where("bonus > 0")
@@ -85,7 +84,8 @@ def bins(frames: DataFrame, events: DataFrame, matches: DataFrame, sequence: lis
     n = F.greatest(F.lit(1), F.ceil(F.col("duration") / width).cast("int"))
     every = matches.select(*sequence, "duration", n.alias("bins_"), F.explode(F.sequence(F.lit(0), n - 1)).alias("bin"))
     at = F.least(F.greatest(F.lit(0), F.floor(F.greatest(F.col("t"), F.lit(0.0)) / width).cast("int")), F.col("bins_") - 1)
-    ends = matches.select(*sequence, "duration", n.alias("bins_"))
+    # Matches and events grow alike and their size in a file tells little, so none of them is sent to every task.
+    ends = matches.select(*sequence, "duration", n.alias("bins_")).hint("merge")
     placed = lambda df: df.join(ends, sequence).where("t < duration").withColumn("bin", at)
     held = (F.col("status") == "controlled") & F.col("team").isin("A", "B")
     sure = F.when(held, clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0))
@@ -139,7 +139,7 @@ def smoothed(points: DataFrame, sequence: list[str], width: float = 5.0, window:
     alpha = 2.0 / (max(1, round(window / width)) + 1.0)
     narrow = points.select(*sequence, "bin", "signed", "period", "reliable")
     s = stepped(narrow, sequence, ["bin"], lambda key: _Ema(alpha, width, reset), "bin int, smooth double")
-    return points.join(s, [*sequence, "bin"])
+    return points.join(s.hint("merge"), [*sequence, "bin"])
 
 
 def momentum(frames: DataFrame, passes: DataFrame, restarts: DataFrame, matches: DataFrame, sequence: list[str], width: float, length: float, bin_seconds: float = 5.0, window: float = 30.0) -> DataFrame:

@@ -66,14 +66,14 @@ def asof_lagged(df: DataFrame, entity: list[str], t: str, tie: str, value: str,
     us = lambda s: round(s * 1e6)
     x = df.withColumn("us_", F.round(F.col(t) * 1e6).cast("long"))
     w, one = ordered(entity, "us_"), F.struct(F.col("us_").alias("t"), F.col(tie).alias("id"), F.col(value).alias("v"))
-    # The first row of the latest time at or before the lag, and the first row after it.
+    # Of rows of one time the first one has the largest number, so the largest row of a span is the first of its latest time.
+    turn = F.row_number().over(ordered(entity, "us_", F.desc(tie), F.desc(value)))
+    last = F.struct(F.col("us_").alias("t"), turn.alias("n"), F.col(value).alias("v"))
     span = lambda f, c, a, b: F.when(F.lit(a <= b), f(c).over(w.rangeBetween(a, max(a, b))))
-    x = x.withColumn("at_", span(F.max, "us_", -min(us(lag + slack), us(most)), -us(lag)).cast("long"))
+    x = x.withColumn("last_", last).withColumn("at_", span(F.max, "last_", -min(us(lag + slack), us(most)), -us(lag)))
     x = x.withColumn("after_", span(F.min, one, max(1 - us(lag), -us(most)), min(us(slack - lag), -1)))
-    first = df.groupBy(*entity, F.round(F.col(t) * 1e6).cast("long").alias("at_")).agg(F.min(F.struct(F.col(tie).alias("id"), F.col(value).alias("v")))["v"].alias("before_"))
-    x = x.join(first, [*entity, "at_"], "left")
-    nearer = F.col("at_").isNotNull() & (F.col("after_").isNull() | (F.col("us_") - F.col("at_") - us(lag) <= us(lag) - (F.col("us_") - F.col("after_.t"))))
-    return x.withColumn("lagged_value", F.when(nearer, F.col("before_")).otherwise(F.col("after_.v"))).select(*df.columns, "lagged_value")
+    nearer = F.col("at_.t").isNotNull() & (F.col("after_").isNull() | (F.col("us_") - F.col("at_.t") - us(lag) <= us(lag) - (F.col("us_") - F.col("after_.t"))))
+    return x.withColumn("lagged_value", F.when(nearer, F.col("at_.v")).otherwise(F.col("after_.v"))).select(*df.columns, "lagged_value")
 
 
 def next_where(df: DataFrame, entity: list[str], t: str, tie: str, condition: Column, within: float) -> DataFrame:

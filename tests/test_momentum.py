@@ -118,3 +118,11 @@ def test_empty(spark):
     none = lambda s: spark.createDataFrame([], s)
     got = M.momentum(none(FRAMES), none(PASSES), none(RESTARTS), spark.createDataFrame([(1, 12.0)], "match int, duration double"), ["match"], W, L).collect()
     assert [(r["samples"], r["score"], r["dominant"]) for r in got] == [(0, 0.0, None)] * 3
+
+
+def test_no_table_is_sent_to_every_task(spark):
+    """Small files of many events and matches unfold to far more than their size, so a plan made by that size filled the driver."""
+    from tactigrid.plans import play
+
+    plan = play.e7(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
