@@ -3,9 +3,11 @@
 Unit vectors with cosine >= c are at most epsilon = sqrt(2 - 2 c) apart. Vectors are rotated to
 their principal axes and sorted by the grid cells (of width epsilon) of the leading ones. The
 sequence is cut into intervals with bounding boxes; two intervals whose boxes are more than epsilon
-apart hold no pair. Pairs of intervals that are not provably distant are joined, and inside a task
-the join halves both intervals again and again, skipping distant halves, down to small leaves, whose
-cosines one matrix product gives. Cosines near the threshold are computed again in double precision.
+apart hold no pair. Pairs of intervals that are not provably distant are joined, each in a task that
+holds the first interval and takes the second one page by page; so a vector is sent once for each
+interval, and intervals are as few as keep all tasks busy and fit a task's memory. A task halves both
+sides again and again, skipping distant halves, down to small leaves, whose cosines one matrix
+product gives. Cosines near the threshold are computed again in double precision.
 
 Equal vectors count as one node with a multiplicity. A task gives each node's number of links and
 only so many edges as connect what it has linked, never all pairs.
@@ -13,6 +15,8 @@ only so many edges as connect what it has linked, never all pairs.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +29,12 @@ from . import graph, store
 COSINE = 0.95
 #: Leading principal axes that order the grid and bound the boxes.
 AXES = 12
-INTERVAL = 2048
+#: Vectors of an interval at most, about, and at least where there are several.
+INTERVAL, LEAST = 65_536, 4096
+PAGE = 2048
 LEAF = 256
 #: Single-precision cosines within this of the threshold are computed again.
 MARGIN = 1e-4
-BROADCAST_ROWS = 300_000
 
 
 def usable() -> Column:
@@ -63,10 +68,13 @@ def unit(v: pd.Series) -> np.ndarray:
 
 
 class Tree:
-    """Union-find over the places of two intervals."""
+    """Union-find over places, which may be added to."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
+
+    def grow(self, n: int) -> None:
+        self.up = np.append(self.up, np.arange(len(self.up), len(self.up) + n))
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -74,9 +82,31 @@ class Tree:
             i = self.up[i]
         return i
 
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        at = self.up[places]
+        while (far := self.up[at] != at).any():
+            at[far] = self.up[at[far]]
+        self.up[places] = at
+        return at
+
+    def tie(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs (i, j) that join what was apart."""
+        a, b = self.roots(i), self.roots(j)
+        apart = a != b
+        if not apart.any():
+            return []
+        _, first = np.unique(a[apart] * len(self.up) + b[apart], return_index=True)
+        out = []
+        for s, t in zip(i[apart][first].tolist(), j[apart][first].tolist(), strict=True):
+            s2, t2 = self.find(s), self.find(t)
+            if s2 != t2:
+                self.up[t2] = s2
+                out.append((s, t))
+        return out
+
 
 def join(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places (i, j) with cosine or more; px, py: coordinates on the leading axes; same: x is y, pairs i < j."""
+    """Pairs of places (i, j) with cosine or more of unit vectors, leaf by leaf; px, py: coordinates on the leading axes; same: x is y, pairs i < j."""
     eps2 = 2 - 2 * cosine + 1e-9
     stack = [(0, len(x), 0, len(y))]
     single = x.astype(np.float32), y.astype(np.float32)
@@ -94,17 +124,21 @@ def join(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: boo
             continue
         near = single[0][a:b] @ single[1][c:d].T
         i, j = np.nonzero(near >= cosine - MARGIN)
+        if not len(i):
+            continue
+        good = near[i, j] >= cosine + MARGIN
         i, j = i + a, j + c
+        unsure = np.flatnonzero(~good)
+        good[unsure] = np.einsum("ij,ij->i", x[i[unsure]], y[j[unsure]]) >= cosine
         if same:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            good = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+            good &= i < j
+        if good.any():
             yield i[good], j[good]
 
 
-def blocks(points: DataFrame, mean: np.ndarray, axes: np.ndarray, cosine: float) -> DataFrame:
-    """The sequence's intervals: block, ids, vectors (float64 bytes), low, high (box on the leading axes)."""
-    d, k = axes.shape[0], min(AXES, axes.shape[0])
+def pages(points: DataFrame, mean: np.ndarray, axes: np.ndarray, cosine: float, intervals: int) -> DataFrame:
+    """The sequence's pages: part (the interval), page, ids, copies, vectors (float32 bytes), low, high (box on the leading axes)."""
+    k = min(AXES, axes.shape[0])
     eps = (2 - 2 * cosine) ** 0.5
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,65 +152,91 @@ def blocks(points: DataFrame, mean: np.ndarray, axes: np.ndarray, cosine: float)
         held = []
         for b in batches:
             held.append(b)
-            if sum(map(len, held)) >= INTERVAL:
+            if sum(map(len, held)) >= PAGE:
                 whole = pd.concat(held)
-                for i in range(0, len(whole) - INTERVAL + 1, INTERVAL):
-                    yield pack(whole.iloc[i : i + INTERVAL])
-                held = [whole.iloc[len(whole) // INTERVAL * INTERVAL :]]
+                for i in range(0, len(whole) - PAGE + 1, PAGE):
+                    yield pack(whole.iloc[i : i + PAGE])
+                held = [whole.iloc[len(whole) // PAGE * PAGE :]]
         if sum(map(len, held)):
             yield pack(pd.concat(held))
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
-        u = unit(b["v"])
-        p = (u - mean) @ axes[:, :k]
-        return pd.DataFrame({"ids": [b["node"].to_numpy(np.int64).tobytes()], "copies": [b["copies"].to_numpy(np.int64).tobytes()], "vectors": [u.tobytes()], "low": [p.min(0)], "high": [p.max(0)]})
+        p = (unit(b["v"]) - mean) @ axes[:, :k]
+        v = np.array(b["v"].tolist(), np.float32)
+        return pd.DataFrame({"ids": [b["node"].to_numpy(np.int64).tobytes()], "copies": [b["copies"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "low": [p.min(0)], "high": [p.max(0)]})
 
-    n = store.partitions(points.sparkSession)
-    ordered = points.mapInPandas(cells, "node long, copies long, v array<float>, cell array<int>, first double").repartitionByRange(n, "cell", "first").sortWithinPartitions("cell", "first")
-    return ordered.mapInPandas(cut, "ids binary, copies binary, vectors binary, low array<double>, high array<double>").withColumn("block", F.monotonically_increasing_id()).withColumn("d", F.lit(d))
+    ordered = points.mapInPandas(cells, "node long, copies long, v array<float>, cell array<int>, first double").repartitionByRange(intervals, "cell", "first", "node").sortWithinPartitions("cell", "first", "node")
+    x = ordered.mapInPandas(cut, "ids binary, copies binary, vectors binary, low array<double>, high array<double>")
+    return x.withColumns({"part": F.spark_partition_id(), "page": F.monotonically_increasing_id()})
 
 
 def linked(points: DataFrame, d: int, cosine: float) -> DataFrame:
     """(node, other, links): a node's number of linked copies of other nodes in a row for each task, and edges where other is not null."""
     mean, axes = moments(points, d)
-    k = min(AXES, d)
-    cut = store.table(blocks(points, mean, axes, cosine), "egrid-blocks")
-    boxes = cut.select("block", "low", "high")
+    k, n = min(AXES, d), store.partitions(points.sparkSession)
+    rows = points.count()
+    # A pair of intervals is a task: there should be two for each partition, unless that makes intervals too small.
+    intervals = max(-(-rows // INTERVAL), min(math.isqrt(4 * n) + 1, -(-rows // LEAST)))
+    cut = store.table(pages(points, mean, axes, cosine, intervals), "egrid-pages")
+    boxes = cut.groupBy("part").agg(F.array(*[F.min(F.get("low", F.lit(i))) for i in range(k)]).alias("low"), F.array(*[F.max(F.get("high", F.lit(i))) for i in range(k)]).alias("high"))
     eps2 = 2 - 2 * cosine + 1e-9
     gap = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda s, i: s + F.pow(F.greatest(F.lit(0.0), F.get("low", i) - F.get("high2", i), F.get("low2", i) - F.get("high", i)), F.lit(2.0)))
-    other = boxes.select(F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = boxes.join(F.broadcast(other) if boxes.count() <= BROADCAST_ROWS else other, (F.col("block") <= F.col("block2")) & (gap <= eps2)).select("block", "block2")
-    right = cut.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vectors").alias("vectors2"))
-    both = store.table(pairs, "egrid-pairs").join(cut.select("block", "ids", "copies", "vectors"), "block").join(right, "block2")
+    other = boxes.select(F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = store.table(boxes.join(F.broadcast(other), (F.col("part") <= F.col("part2")) & (gap <= eps2)).select("part", "part2"), "egrid-pairs")
+    sent = cut.select("part", "page", "ids", "copies", "vectors")
+    first = sent.join(F.broadcast(pairs), "part").select("part", "part2", F.lit(0).alias("side"), "page", "ids", "copies", "vectors")
+    second = sent.withColumnRenamed("part", "part2").join(F.broadcast(pairs.where("part != part2")), "part2").select("part", "part2", F.lit(1).alias("side"), "page", "ids", "copies", "vectors")
+
+    def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        v = np.frombuffer(r.vectors, np.float32).reshape(-1, d).astype(np.float64)
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        return np.frombuffer(r.ids, np.int64), np.frombuffer(r.copies, np.int64), v, (v - mean) @ axes[:, :k]
+
+    def counted(ids: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"node": ids[total > 0], "other": pd.array([None] * int((total > 0).sum()), "Int64"), "links": total[total > 0]})
+
+    def meet(a: tuple, b: tuple, tree: Tree, off: int, same: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Edges between what was apart (places of a, and of b after off), and both sides' numbers of linked copies."""
+        edges, left, right = [], np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
+        for i, j in join(a[2], a[3], b[2], b[3], same, cosine):
+            for total, at, copies in ((left, i, b[1][j]), (right, j, a[1][i])):
+                lo, hi = at.min(), at.max() + 1
+                total[lo:hi] += np.bincount(at - lo, copies, minlength=hi - lo).astype(np.int64)
+            edges += tree.tie(i, j + off)
+        return edges, left, right
+
+    def task(held: list[tuple], others: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        """The pairs within an interval if there are no others, else those of it with the pages of another."""
+        a = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        tree, alone = Tree(len(a[0])), True
+        total = np.zeros(len(a[0]), np.int64)
+        for b in others:
+            alone, off = False, len(tree.up)
+            tree.grow(len(b[0]))
+            edges, left, right = meet(a, b, tree, off, False)
+            total += left
+            yield counted(b[0], right)
+            if edges:
+                s, t = (np.array(x) for x in zip(*edges, strict=True))
+                yield pd.DataFrame({"node": a[0][s], "other": pd.array(b[0][t - off], "Int64"), "links": 0})
+        if alone:
+            edges, left, right = meet(a, a, tree, 0, True)
+            total += left + right
+            if edges:
+                s, t = (np.array(x) for x in zip(*edges, strict=True))
+                yield pd.DataFrame({"node": a[0][s], "other": pd.array(a[0][t], "Int64"), "links": 0})
+        yield counted(a[0], total)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                same = r.block == r.block2
-                ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids2, np.int64)
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, d) for v in (r.vectors, r.vectors2))
-                both, tree = np.concatenate((ids[0], ids[0] if same else ids[1])), Tree(len(ids[0]) + len(ids[1]))
-                off, edges = 0 if same else len(ids[0]), []
-                pair_a, pair_b = [], []
-                for i, j in join(x, (x - mean) @ axes[:, :k], y, (y - mean) @ axes[:, :k], same, cosine):
-                    pair_a.append(i.astype(np.int32))
-                    pair_b.append(j.astype(np.int32))
-                    for s, t in zip(i.tolist(), (j + off).tolist(), strict=True):
-                        s2, t2 = tree.find(s), tree.find(t)
-                        if s2 != t2:
-                            tree.up[t2] = s2
-                            edges.append((s, t))
-                if edges:
-                    i, j = np.concatenate(pair_a), np.concatenate(pair_b)
-                    s, t = zip(*edges, strict=True)
-                    yield pd.DataFrame({"node": both[list(s)], "other": pd.array(both[list(t)], "Int64"), "links": 0})
-                    w = np.frombuffer(r.copies, np.int64), np.frombuffer(r.copies2, np.int64)
-                    total = np.bincount(i, w[1][j], minlength=len(ids[0])).astype(np.int64), np.bincount(j, w[0][i], minlength=len(ids[1])).astype(np.int64)
-                    for one, n in zip(ids, total, strict=True):
-                        yield pd.DataFrame({"node": one[n > 0], "other": pd.array([None] * int((n > 0).sum()), "Int64"), "links": n[n > 0]})
-
-    n = store.partitions(points.sparkSession)
-    return both.repartition(n, "block", "block2").mapInPandas(work, "node long, other long, links long")
+        rows = (r for b in batches for r in b.itertuples())
+        for _, mine in itertools.groupby(rows, lambda r: (r.part, r.part2)):
+            sides = itertools.groupby(mine, lambda r: r.side)
+            held = [opened(r) for r in next(sides)[1]]
+            yield from task(held, (opened(r) for _, side in sides for r in side))
+
+    dealt = first.unionAll(second).repartition(max(n, 2 * pairs.count()), "part", "part2").sortWithinPartitions("part", "part2", "side", "page")
+    return dealt.mapInPandas(work, "node long, other long, links long")
 
 
 def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
