@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grouped import runs
+
 
 def timeline(df: DataFrame, entity: list[str], t: str, width: float, value: str, first: float, buckets: int) -> DataFrame:
     """Per entity and bucket (also empty ones): count and exact sum of value (2 decimals)."""
@@ -39,17 +46,92 @@ def capped_top(df: DataFrame, group: list[str], order: list, total: int, each: i
     return x.orderBy("filler", *order).limit(total).drop("filler", "rank")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, group: str, k: int, rows: int = 100_000) -> DataFrame:
-    """For each query (query_id, group, q) the k nearest of its group by cosine distance (6 decimals), ties by id.
+#: Queries that a task of nearest() holds, about, and cosines that it computes together.
+QUERIES, CELLS = 8192, 1 << 21
+
+
+class _Best:
+    """The k nearest so far of each of some queries, by distance and id."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.most = k, np.full(n, np.inf)
+        self.query, self.distance, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def take(self, distance: np.ndarray, mine: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """distance of the queries in mine (whose ids are own) to vectors of these ids."""
+        rounded = np.floor(distance * 1e6 + 0.5) / 1e6
+        rounded[own[:, None] == ids[None, :]] = np.nan
+        i, j = np.nonzero(rounded <= self.most[mine][:, None])
+        if not len(i):
+            return
+        q, d, v = np.append(self.query, mine[i]), np.append(self.distance, rounded[i, j]), np.append(self.id, ids[j])
+        order = np.lexsort((v, d, q))
+        q, d, v = q[order], d[order], v[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.query, self.distance, self.id = q[keep], d[keep], v[keep]
+        last = place == self.k - 1
+        self.most[q[last]] = d[last]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, group: str, k: int, rows: int = QUERIES) -> DataFrame:
+    """For each query (query_id, group, q) the k nearest of its group (id, group, v) by cosine distance (6 decimals), ties by id.
 
-    The queries are the small side; rows bounds what is sent to every task.
+    A task holds some queries of a group, about `rows`, and takes a part of the group's vectors batch by
+    batch; of each part the k nearest are left to compare. A vector of nulls, or of another length, is as
+    far as can be.
     """
-    if queries.count() > rows:
-        raise ValueError(f"more than {rows} queries; run them in blocks")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v")))
-    x = vectors.join(F.broadcast(queries), group).where("id != query_id").withColumn("distance", F.round(1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)), 6))
-    return top_per_group(x, ["query_id"], ["distance", "id"], k).select("query_id", "id", "rank", "distance")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = queries.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // rows))
+    kinds = dict(queries.dtypes)
+    size = lambda c: F.when(F.col(c).isNull() | F.exists(c, lambda x: x.isNull()), -1).otherwise(F.size(c))
+    side = lambda df, i, c, n: df.where(F.col(i).isNotNull() & F.col(group).isNotNull()).select(group, F.lit(n).alias("side_"), F.col(i).cast("long").alias("id"), F.col(c).cast("array<double>").alias("v"), size(c).alias("size_"))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = side(queries, "query_id", "q", 0).withColumn("block_", of(blocks)).withColumn("part_", every(parts))
+    rest = side(vectors, "id", "v", 1).withColumn("part_", of(parts)).withColumn("block_", every(blocks))
+
+    def sized(b: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, places, ids, vectors) of the rows of each size."""
+        out = []
+        for n in b["size_"].unique().tolist():
+            at = np.flatnonzero(b["size_"].to_numpy() == n)
+            v = np.array(b["v"].iloc[at].tolist(), np.float64).reshape(len(at), n) if n >= 0 else np.zeros((len(at), 0))
+            out.append((n, at, b["id"].to_numpy(np.int64)[at], v))
+        return out
+
+    def meet(mine: pd.DataFrame, others: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        best, q = _Best(k, len(mine)), sized(mine)
+        step = max(1, CELLS // len(mine))
+        for b in others:
+            for i in range(0, len(b), step):
+                for n, _, ids, v in sized(b.iloc[i : i + step]):
+                    for m, places, own, u in q:
+                        cosine = np.full((len(u), len(v)), -1.0)
+                        if n == m >= 0:
+                            with np.errstate(all="ignore"):
+                                cosine = (u @ v.T) / np.sqrt((u * u).sum(1)[:, None] * (v * v).sum(1)[None, :])
+                            cosine = np.clip(np.where(np.isnan(cosine), 1.0, cosine), -1.0, 1.0)
+                        best.take(1.0 - cosine, places, ids, own)
+        return pd.DataFrame({"query_id": mine["id"].to_numpy()[best.query], "id": best.id, "distance": best.distance})
+
+    keys = [group, "block_", "part_"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = ((*key, int(side), part) for b in batches for (*key, side), part in runs(b, [*keys, "side_"]))
+        for _, mine in itertools.groupby(pieces, lambda p: p[:3]):
+            first: list[pd.DataFrame] = []
+            for side_, piece in itertools.groupby(mine, lambda p: p[3]):
+                if side_ == 0:
+                    first = [p[4] for p in piece]
+                elif first:
+                    yield meet(pd.concat(first, ignore_index=True), (p[4] for p in piece))
+
+    dealt = held.unionByName(rest).repartition(4 * parts, *keys).sortWithinPartitions(*keys, "side_")
+    found = dealt.mapInPandas(work, "query_id long, id long, distance double")
+    x = top_per_group(found, ["query_id"], ["distance", "id"], k)
+    return x.select(F.col("query_id").cast(kinds["query_id"]), F.col("id").cast(dict(vectors.dtypes)["id"]), "rank", F.round("distance", 6).alias("distance"))
 
 
 def centroids(df: DataFrame, label: str, vector: str, digits: int = 6) -> DataFrame:
