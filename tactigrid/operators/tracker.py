@@ -6,6 +6,8 @@ state is the live tracks alone, however long the sequence.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +17,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tactigrid.sources.tables import shared_dir, written
+
 from .grouped import frame as rows_of
 from .grouped import runs, stepped
 from .sequence import ordered, sessionize
 
 #: Where a detection stands; only inside may a track begin.
 INSIDE, BOUNDARY, OUTSIDE = "inside_play", "boundary_transient", "outside_play"
+#: Pairs of tracks and detections whose distances are computed together, about; rows of a stream's group that are given at a time.
+PAIRS, GIVEN = 1 << 20, 50_000
 
 
 class Tracker:
@@ -33,40 +39,65 @@ class Tracker:
     def __init__(self, reach: float = 80.0, patience: int = 10, aware: bool = False, outside: bool = False):
         self.reach, self.patience, self.aware, self.outside = reach, patience, aware, outside
         self.next, self.frame = 1, None
-        self.ids, self.seen, self.places = [], [], np.zeros((0, 2))
+        self.ids, self.seen, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2))
 
     def step(self, frame: int, places: np.ndarray, status: list[str | None] | None = None) -> list[int | None]:
         """The track of each of a frame's detections, None for one that neither continues nor begins a track.
 
         The nearest pair of all goes first, then the nearest of what is left, up to reach; equal distances go to the older track, then to the earlier detection.
         """
-        alive = [k for k, s in enumerate(self.seen) if frame - s <= self.patience + 1]
-        if len(alive) < len(self.ids):
-            self.ids, self.seen, self.places = [self.ids[k] for k in alive], [self.seen[k] for k in alive], self.places[alive]
+        alive = frame - self.seen <= self.patience + 1
+        if not alive.all():
+            self.ids, self.seen, self.places = self.ids[alive], self.seen[alive], self.places[alive]
         self.frame = frame
         states = status if self.aware and status is not None else [INSIDE] * len(places)
         able = [k for k, s in enumerate(states) if s in (INSIDE, BOUNDARY) or self.outside and s == OUTSIDE]
         out: list[int | None] = [None] * len(places)
-        if able and self.ids:
-            gap = places[able][None, :, :] - self.places[:, None, :]
-            d = np.sqrt((gap * gap).sum(axis=2))
-            order = np.argsort(d, axis=None, kind="stable")
-            order = order[d.ravel()[order] <= self.reach]
-            free = np.ones(len(self.ids), bool)
-            for at in order.tolist():
-                i, j = divmod(at, len(able))
-                if free[i] and out[able[j]] is None:
-                    free[i] = False
-                    out[able[j]], self.seen[i], self.places[i] = self.ids[i], frame, places[able[j]]
-        for k in able:
-            if out[k] is None and states[k] == INSIDE:
-                out[k] = self.next
-                self.ids.append(self.next)
-                self.seen.append(frame)
-                self.places = np.vstack([self.places, places[k]])
-                self.next += 1
+        if able and len(self.ids):
+            i, j = self.near(places[able])
+            taken, free = np.zeros(len(self.ids), bool).tolist(), [True] * len(able)
+            pairs = []
+            for s, t in zip(i.tolist(), j.tolist(), strict=True):
+                if free[t] and not taken[s]:
+                    taken[s], free[t] = True, False
+                    pairs.append((s, able[t]))
+            if pairs:
+                s, t = (np.array(x) for x in zip(*pairs, strict=True))
+                self.seen[s], self.places[s] = frame, places[t]
+                for k, n in zip(t.tolist(), self.ids[s].tolist(), strict=True):
+                    out[k] = n
+        born = [k for k in able if out[k] is None and states[k] == INSIDE]
+        if born:
+            new = np.arange(self.next, self.next + len(born))
+            for k, n in zip(born, new.tolist(), strict=True):
+                out[k] = n
+            self.ids, self.seen, self.places = np.append(self.ids, new), np.append(self.seen, np.full(len(born), frame)), np.vstack([self.places, places[born]])
+            self.next += len(born)
         return out
 
+    def near(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tracks and places at most reach apart, the nearest first: only tracks in a strip of that width around a place are looked at."""
+        axis = int(np.ptp(self.places[:, 1]) > np.ptp(self.places[:, 0]))
+        order = np.argsort(self.places[:, axis], kind="stable")
+        line = self.places[order, axis]
+        # A little wider, for the difference of two places may be rounded down to reach.
+        wide = self.reach * (1 + 1e-9) + 1e-9 * np.abs(places[:, axis])
+        low, high = np.searchsorted(line, places[:, axis] - wide, "left"), np.searchsorted(line, places[:, axis] + wide, "right")
+        n = high - low
+        found = []
+        ends = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right") + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(n)], strict=True):
+            if a < b:
+                j = np.repeat(np.arange(len(n))[a:b], n[a:b])
+                i = order[np.arange(len(j)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + low[j]]
+                gap = places[j] - self.places[i]
+                d = np.sqrt((gap * gap).sum(axis=1))
+                hit = d <= self.reach
+                found.append((d[hit], i[hit], j[hit]))
+        d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((j, i, d))
+        return i[by], j[by]
+
 
 class _Batch:
     """Feeds a tracker frame by frame; the last frame of a batch may go on in the next."""
@@ -110,6 +141,7 @@ def track(df: DataFrame, sequence: list[str], frame: str, id_: str, x: str, y: s
     kind = dict(df.dtypes)[id_]
     start = lambda key: _Batch(Tracker(reach, patience, status is not None, outside), columns)
     found = stepped(cut, [*sequence, "session"], [frame, id_], start, f"{frame} long, {id_} {kind}, track long")
+    found = written(found, f"{shared_dir(df.sparkSession)}/tracks-{uuid.uuid4().hex}")  # read twice, tracked once
     births = found.groupBy(*sequence, "session").agg(F.coalesce(F.max("track"), F.lit(0)).alias("births"))
     before = F.coalesce(F.sum("births").over(ordered(sequence, "session").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     first = births.withColumn("before", before).select(*sequence, "session", "before")
@@ -135,13 +167,16 @@ def track_stream(df: DataFrame, sequence: list[str], frame: str, id_: str, x: st
         t = Tracker(reach, patience)
         if state.exists:
             t.next, t.frame, ids, seen, xs, ys = state.get
-            t.ids, t.seen, t.places = list(ids), list(seen), np.column_stack([xs, ys]).reshape(len(ids), 2).astype(float)
+            t.ids, t.seen, t.places = np.array(ids, np.int64), np.array(seen, np.int64), np.column_stack([xs, ys]).reshape(len(ids), 2).astype(float)
         over = rows[frame] <= t.frame if t.frame is not None else pd.Series(False, rows.index)
-        out = [(*key, int(f), i, None, True) for f, i in rows.loc[over, [frame, id_]].itertuples(index=False)]
-        out += [(*key, *r, False) for r in tracked(t, rows[~over], columns)]
+        late = ((*key, int(f), i, None, True) for f, i in rows.loc[over, [frame, id_]].itertuples(index=False))
+        out = itertools.chain(late, ((*key, *r, False) for r in tracked(t, rows[~over], columns)))
+        while len(given := list(itertools.islice(out, GIVEN))) == GIVEN:
+            yield rows_of(given, names)
         if t.frame is not None:
-            state.update((t.next, t.frame, t.ids, t.seen, t.places[:, 0].tolist(), t.places[:, 1].tolist()))
-        yield rows_of(out, [*sequence, frame, id_, "track", "late"])
+            state.update((t.next, t.frame, t.ids.tolist(), t.seen.tolist(), t.places[:, 0].tolist(), t.places[:, 1].tolist()))
+        yield rows_of(given, names)
 
+    names = [*sequence, frame, id_, "track", "late"]
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in sequence), f"{frame} long, {id_} {kinds[id_]}, track long, late boolean"])
     return df.select(*sequence, *columns).groupBy(*sequence).applyInPandasWithState(work, schema, STATE, "append", GroupStateTimeout.NoTimeout)
