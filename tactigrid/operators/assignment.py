@@ -5,12 +5,11 @@ from __future__ import annotations
 import bisect
 from collections import defaultdict, deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grouped import whole
+from .grouped import together
 from .sequence import sessionize
 
 #: Costs are compared in millionths.
@@ -94,12 +93,11 @@ def assigned(pairs: DataFrame, keys: list[str], row: str, column: str, by: str,
     """
     kinds = dict(pairs.dtypes)
 
-    def work(b: pd.DataFrame) -> list[tuple]:
-        rows = list(b[[row, column, by]].itertuples(index=False, name=None))
+    def work(rows: list[tuple]) -> list[tuple]:
         return [rows[k] for k in least_cost(rows, limit)]
 
     able = pairs.where(F.col(by).isNotNull() & ~F.isnan(by) & F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*keys, row, column).agg(F.min(by).cast("double").alias(by))
-    return whole(able, keys, [row, column], work, f"{row} {kinds[row]}, {column} {kinds[column]}, {by} double")
+    return together(able, keys, [row, column], [row, column, by], work, f"{row} {kinds[row]}, {column} {kinds[column]}, {by} double")
 
 
 def linked(edges: DataFrame, source: str, target: str, by: str, key: str, unmatched: float = 0.75, most: int = 5000) -> DataFrame:
@@ -118,12 +116,11 @@ def linked(edges: DataFrame, source: str, target: str, by: str, key: str, unmatc
     size = best.groupBy("component").agg(F.count(F.lit(1)).alias("pairs_"))
     best = best.join(size, "component")
 
-    def work(b: pd.DataFrame) -> list[tuple]:
-        rows = list(b[[source, target, "cost_"]].itertuples(index=False, name=None))
-        taken = set(least_cost(rows, unmatched))
-        return [(k, i in taken) for i, k in enumerate(b[key])]
+    def work(rows: list[tuple]) -> list[tuple]:
+        taken = set(least_cost([r[:3] for r in rows], unmatched))
+        return [(r[3], i in taken) for i, r in enumerate(rows)]
 
-    small = whole(best.where(F.col("pairs_") <= most), ["component"], [source, target], work, f"{key} {kinds[key]}, selected boolean")
+    small = together(best.where(F.col("pairs_") <= most), ["component"], [source, target], [source, target, "cost_", key], work, f"{key} {kinds[key]}, selected boolean")
     large = best.where(F.col("pairs_") > most).select("component", key)
     found = small.withColumn("state", F.lit("matched")).unionByName(large.withColumn("selected", F.lit(False)).withColumn("state", F.lit("too_large")))
     return edges.join(found, key, "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("state", F.coalesce("state", F.lit("not_considered")))
@@ -142,9 +139,9 @@ def greedy_match(gold: DataFrame, found: DataFrame, key: list[str], frame: str,
     both = side(gold, True, F.col(order or frame)).unionByName(side(found, False, F.lit(0)))
     cut = sessionize(both.where("f_ is not null"), key, "f_", "id_", tolerance)
 
-    def work(b: pd.DataFrame) -> list[tuple]:
-        golds = sorted(((r.turn_, r.id_, r.f_) for r in b[b["gold_"]].itertuples()), key=lambda x: x[:2])
-        free = sorted((r.f_, r.id_) for r in b[~b["gold_"]].itertuples())
+    def work(rows: list[tuple]) -> list[tuple]:
+        golds = sorted(((turn, i, f) for f, i, gold, turn in rows if gold), key=lambda x: (x[0] is None, x[0], x[1] is None, x[1]))
+        free = sorted(((f, i) for f, i, gold, _ in rows if not gold), key=lambda x: (x[0], x[1] is None, x[1]))
         out: list[tuple] = []
         for _, i, f in golds:
             a = bisect.bisect_left(free, (f - tolerance,))
@@ -159,7 +156,7 @@ def greedy_match(gold: DataFrame, found: DataFrame, key: list[str], frame: str,
                 out.append((i, at[1], int(at[0] - f)))
         return out + [(None, i, None) for _, i in free]
 
-    matched = whole(cut, [*key, "session"], ["f_", "id_"], work, f"gold_id {kinds[id_]}, found_id {kinds[id_]}, frame_delta long").drop("session")
+    matched = together(cut, [*key, "session"], ["f_", "id_"], ["f_", "id_", "gold_", "turn_"], work, f"gold_id {kinds[id_]}, found_id {kinds[id_]}, frame_delta long").drop("session")
     lost = both.where("f_ is null").select(*key, F.when(F.col("gold_"), F.col("id_")).alias("gold_id"), F.when(~F.col("gold_"), F.col("id_")).alias("found_id"), F.lit(None).cast("long").alias("frame_delta"))
     return matched.unionByName(lost)
 

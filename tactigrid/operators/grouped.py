@@ -35,15 +35,18 @@ def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(columns, out, strict=True)})
 
 
-def runs(b: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Slices of rows with equal keys (nulls are equal), in order."""
-    if not len(b):
-        return
+def starts(b: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Where the keys change (nulls are equal), with 0 and the number of rows."""
     new = np.zeros(len(b), bool)
     for k in keys:
         v, missing = b[k].to_numpy(), b[k].isna().to_numpy()
         new[1:] |= (missing[1:] != missing[:-1]) | (~missing[1:] & ~missing[:-1] & (v[1:] != v[:-1]))
-    cuts = [0, *np.flatnonzero(new).tolist(), len(b)]
+    return [0, *np.flatnonzero(new).tolist(), len(b)] if len(b) else [0]
+
+
+def runs(b: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Slices of rows with equal keys (nulls are equal), in order."""
+    cuts = starts(b, keys)
     for i, j in zip(cuts, cuts[1:], strict=False):
         part = b.iloc[i:j]
         yield tuple(None if pd.isna(x) else x for x in part[keys].iloc[0].tolist()), part
@@ -73,6 +76,53 @@ def stepped(df: DataFrame, keys: list[str], order: list[str], start: Callable[[t
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
 
 
+class RowSteps(Protocol):
+    """Steps that take rows as tuples."""
+
+    def feed(self, rows: list[tuple]) -> list[tuple]: ...
+
+    def end(self) -> list[tuple]: ...
+
+
+def cells(column: pd.Series, kind: str) -> list:
+    """A column's values, None for what pandas calls missing; beside those pandas makes integers doubles, here they are integers again."""
+    missing = np.flatnonzero(column.isna().to_numpy()).tolist()
+    if not missing:
+        return column.tolist()
+    out = column.fillna(0).astype("int64").tolist() if kind in ("tinyint", "smallint", "int", "bigint") else column.tolist()
+    for k in missing:
+        out[k] = None
+    return out
+
+
+def listed(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[tuple], RowSteps], schema: str) -> DataFrame:
+    """stepped() whose rows are tuples of columns, None for nulls: a batch is turned into tuples once, so a group of a few rows costs no more than these."""
+    given = names(schema)
+    kinds = dict(df.dtypes)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple | None = None
+        state: RowSteps | None = None
+        for b in batches:
+            out: list[tuple] = []
+            rows = list(zip(*(cells(b[c], kinds[c]) for c in columns), strict=True))
+            key_of = list(zip(*(cells(b[k], kinds[k]) for k in keys), strict=True))
+            cuts = starts(b, keys)
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if key_of[i] != at:
+                    if state is not None:
+                        out += [at + r for r in state.end()]
+                    at, state = key_of[i], start(key_of[i])
+                out += [at + r for r in state.feed(rows[i:j])]
+            yield frame(out, [*keys, *given])
+        if state is not None:
+            yield frame([at + r for r in state.end()], [*keys, *given])
+
+    typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    needed = list(dict.fromkeys([*keys, *order, *columns]))
+    return df.select(needed).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
+
+
 class _Held:
     def __init__(self, work: Callable[[pd.DataFrame], list[tuple]]):
         self.work, self.rows = work, []
@@ -90,6 +140,23 @@ def whole(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.D
     return stepped(df, keys, order, lambda key: _Held(work), schema)
 
 
+class _Listed:
+    def __init__(self, work: Callable[[list[tuple]], list[tuple]]):
+        self.work, self.rows = work, []
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        self.rows += rows
+        return []
+
+    def end(self) -> list[tuple]:
+        return self.work(self.rows)
+
+
+def together(df: DataFrame, keys: list[str], order: list[str], columns: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """whole() with each group as a list of tuples of columns; for many groups of a few rows."""
+    return listed(df, keys, order, columns, lambda key: _Listed(work), schema)
+
+
 def value(x: Any) -> Any:
     """A cell's value, None for what pandas calls missing."""
     return None if pd.isna(x) else x

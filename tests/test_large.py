@@ -32,3 +32,18 @@ def test_more_queries_than_a_task_holds(spark):
     far = lambda a, b: 2.0 if a % 17 == 0 or b % 17 == 0 else round(1 - min(1.0, u[a] @ u[b]), 6)
     want = {a: sorted((far(a, b), b) for b in range(54) if b != a and b % 3 == a % 3)[:4] for a in range(0, 54, 2)}
     assert got == want
+
+
+def test_small_groups_are_fed_as_tuples(spark):
+    """Many groups of a few rows: no frame is made for a group, and integers beside nulls stay integers."""
+    from tactigrid.operators import grouped
+
+    rows = [(k, i, None if i else k) for k in range(3000) for i in range(k % 3 + 1)] + [(None, 7, 5)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+
+    def work(given):
+        assert isinstance(given, list) and all(isinstance(x, (int, type(None))) for r in given for x in r)
+        return [(len(given), sum(v or 0 for _, v in given))]
+
+    got = {(r["k"], r["n"], r["s"]) for r in grouped.together(df, ["k"], ["i"], ["i", "v"], work, "n long, s long").collect()}
+    assert got == {(k, k % 3 + 1, k) for k in range(3000)} | {(None, 1, 5)}
