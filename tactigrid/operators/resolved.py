@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grouped import stepped, value
+from .grouped import listed
 from .ranges import points_in
 from .sequence import ordered
 
@@ -28,25 +27,24 @@ class _Continued:
     """Of a frame's rows that rank alike the one nearest to the place before; then the larger assignment."""
 
     def __init__(self):
-        self.place, self.held = None, None
+        self.place, self.held = None, []
 
-    def pick(self, rows: pd.DataFrame) -> list[tuple]:
+    def pick(self, rows: list[tuple]) -> list[tuple]:
         best = None
-        for r in rows[["frame", "assignment", "x", "y"]].itertuples(index=False, name=None):
-            at = None if value(r[2]) is None or value(r[3]) is None else (float(r[2]), float(r[3]))
+        for r in rows:
+            at = None if r[2] is None or r[3] is None else (float(r[2]), float(r[3]))
             near = -math.dist(self.place, at) if self.place and at else -1e6
             best = max(best or (near, r[1], r, at), (near, r[1], r, at), key=lambda b: b[:2])
         self.place = best[3] or self.place
         return [(int(best[2][0]), best[2][1])]
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
-        rows = rows if self.held is None else pd.concat([self.held, rows], ignore_index=True)
+    def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
-        last = rows["frame"].iloc[-1]
-        done = rows[rows["frame"] != last]
-        self.held = rows[rows["frame"] == last]
-        for _, part in done.groupby("frame", sort=False):
-            out += self.pick(part)
+        for r in rows:
+            if self.held and self.held[0][0] != r[0]:
+                out += self.pick(self.held)
+                self.held = []
+            self.held.append(r)
         return out
 
     def end(self) -> list[tuple]:
@@ -72,7 +70,7 @@ def resolved_rows(assignments: DataFrame, rows: DataFrame, most: int = 7, width:
     x = x.withColumn("n_", F.row_number().over(best("subject", "frame"))).where("n_ = 1")
     w = W.partitionBy("player", "frame").orderBy(*[F.desc(c) for c in rank])
     x = x.withColumn("n_", F.rank().over(w)).where("n_ = 1").drop("n_")
-    taken = stepped(x.select("player", "frame", "assignment", "x", "y"), ["player"], ["frame", "assignment"], lambda key: _Continued(), f"frame long, assignment {kind}")
+    taken = listed(x, ["player"], ["frame", "assignment"], ["frame", "assignment", "x", "y"], lambda key: _Continued(), f"frame long, assignment {kind}")
     x = x.join(taken, ["player", "frame", "assignment"], "left_semi").withColumn("team", F.coalesce("team", F.lit("U")))
     free, held = x.where("team = 'U'"), x.where("team != 'U'").withColumn("n_", F.row_number().over(best("team", "frame"))).where(F.col("n_") <= most).drop("n_")
     out = ["player", "frame", "subject", "assignment", "source", "x", "y"]
