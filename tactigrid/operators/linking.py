@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .grouped import stepped, value, whole
+from .grouped import listed, together
 from .sequence import ordered
 
 
@@ -33,11 +32,11 @@ class _Chains:
         colour = min(1.0, math.dist(p["rgb"], r["rgb"]) / 180.0) if p["rgb"] and r["rgb"] else 0.35
         return round(d + gap * 1.2 + colour * 4.0, 4)
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+    def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
-        for i, start, stop, x0, y0, x1, y1, team, red, green, blue in rows[COLUMNS].itertuples(index=False, name=None):
-            pair = lambda *v: None if any(value(c) is None for c in v) else [float(c) for c in v]
-            r = {"start": start, "stop": stop, "first": pair(x0, y0), "last": pair(x1, y1), "team": value(team) or "U", "rgb": pair(red, green, blue)}
+        pair = lambda *v: None if any(c is None for c in v) else [float(c) for c in v]
+        for i, start, stop, x0, y0, x1, y1, team, red, green, blue in rows:
+            r = {"start": start, "stop": stop, "first": pair(x0, y0), "last": pair(x1, y1), "team": team or "U", "rgb": pair(red, green, blue)}
             self.live = [p for p in self.live if start - p["stop"] <= self.gap]
             scored = [(s, p["n"]) for p in self.live if (s := self.score(p, r)) is not None]
             if not scored:
@@ -76,7 +75,7 @@ def chained(tracklets: DataFrame, sequence: list[str], gap: float = 3.0, speed:
     w = ordered(sequence, "start", "long_", "id")
     before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
     cut = known.withColumn("piece", F.sum(F.when(F.col("start") - before <= gap, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    found = stepped(cut.select(*sequence, "piece", "long_", *COLUMNS), [*sequence, "piece"], ["start", "long_", "id"], lambda key: _Chains(gap, speed, far), f"id {kind}, player long, score double")
+    found = listed(cut, [*sequence, "piece"], ["start", "long_", "id"], COLUMNS, lambda key: _Chains(gap, speed, far), f"id {kind}, player long, score double")
     born = found.groupBy(*sequence, "piece").agg(F.max("player").alias("born"))
     first = F.coalesce(F.sum("born").over(ordered(sequence, "piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     born = born.withColumn("first", first).drop("born")
@@ -126,10 +125,10 @@ def accepted(links: DataFrame, tracklets: DataFrame, gap: float = 3.0, most: int
     able = able.join(of, "source")
     able = able.join(able.groupBy("component").agg(F.count(F.lit(1)).alias("links_")), "component")
 
-    def work(b: pd.DataFrame) -> list[tuple]:
-        spans = {**{r.source: (r.source_start, r.source_stop) for r in b.itertuples()}, **{r.target: (r.target_start, r.target_stop) for r in b.itertuples()}}
-        return accept(list(b[["key", "source", "target"]].itertuples(index=False, name=None)), spans)
+    def work(rows: list[tuple]) -> list[tuple]:
+        spans = {**{r[1]: (r[3], r[4]) for r in rows}, **{r[2]: (r[5], r[6]) for r in rows}}
+        return accept([r[:3] for r in rows], spans)
 
-    found = whole(able.where(F.col("links_") <= most), ["component"], ["cost", "key"], work, f"key {kinds['key']}, reason string").drop("component")
+    found = together(able.where(F.col("links_") <= most), ["component"], ["cost", "key"], ["key", "source", "target", "source_start", "source_stop", "target_start", "target_stop"], work, f"key {kinds['key']}, reason string").drop("component")
     large = able.where(F.col("links_") > most).select("key", F.lit("too_large").alias("reason"))
     return links.join(found.unionByName(large).unionByName(x.where("early is not null").select("key", F.col("early").alias("reason"))), "key")

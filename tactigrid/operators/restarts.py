@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grouped import stepped
+from .grouped import listed
 from .ranges import bucket
 from .sequence import ordered
 
@@ -49,9 +48,9 @@ class _Still:
     def far(self, a: tuple, b: tuple) -> bool:
         return round(math.dist(a[2:4], b[2:4]), 3) > self.move
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+    def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
-        for r in rows[["frame_", "t_", "x_", "y_", "c_"]].itertuples(index=False, name=None):
+        for r in rows:
             if len(self.rows) >= self.least and (self.fast(self.rows[-1], r) or self.far(self.rows[0], r)):
                 out += self.end()
             self.rows.append(r)
@@ -86,7 +85,7 @@ def static_windows(ball: DataFrame, sequence: list[str], width: float, length: f
     same = F.lag("at_").over(w).eqNullSafe(F.col("at_")) & (F.col("frame") <= F.lag("frame").over(w) + 2)
     x = x.withColumn("run_", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("at_ is not null")
     x = x.select(*sequence, F.col("at_.restart_type").alias("restart_type"), F.col("at_.line").alias("line"), F.col("at_.corner").alias("corner"), "run_", F.col("frame").cast("long").alias("frame_"), F.coalesce("t", F.col("frame") / 30.0).cast("double").alias("t_"), F.col("x").cast("double").alias("x_"), F.col("y").cast("double").alias("y_"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c_"))
-    return stepped(x, [*sequence, "run_", "restart_type", "line", "corner"], ["frame_"], lambda key: _Still(least, speed, move), WINDOW).drop("run_")
+    return listed(x, [*sequence, "run_", "restart_type", "line", "corner"], ["frame_"], ["frame_", "t_", "x_", "y_", "c_"], lambda key: _Still(least, speed, move), WINDOW).drop("run_")
 
 
 def within(windows: DataFrame, rows: DataFrame, sequence: list[str], first: Column, last: Column, columns: list[str], size: int) -> DataFrame:
@@ -147,9 +146,9 @@ class _Consumed:
     def __init__(self):
         self.until = -math.inf
 
-    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+    def feed(self, rows: list[tuple]) -> list[tuple]:
         out = []
-        for start, until in rows[["start_frame", "until_"]].itertuples(index=False, name=None):
+        for start, until in rows:
             if start > self.until:
                 self.until = until
                 out.append((int(start),))
@@ -163,7 +162,7 @@ def consumed(found: DataFrame, sequence: list[str], start: str, until: str) -> D
     """Rows of found, by start, that begin after the until of the row kept before them; rows without until are left out. The state is one number."""
     rows = found.where(F.col(until).isNotNull() & F.col(start).isNotNull())
     narrow = rows.select(*sequence, F.col(start).alias("start_frame"), F.col(until).alias("until_"))
-    kept = stepped(narrow, sequence, ["start_frame", "until_"], lambda key: _Consumed(), "kept_ long")
+    kept = listed(narrow, sequence, ["start_frame", "until_"], ["start_frame", "until_"], lambda key: _Consumed(), "kept_ long")
     return rows.join(kept.withColumnRenamed("kept_", start), [*sequence, start], "left_semi")
 
 
