@@ -9,7 +9,6 @@ shuffle, and texts that differ inside a bucket get a number behind the digest.
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 
@@ -19,7 +18,10 @@ from pyspark.sql import functions as F
 
 from . import store
 
-BLOCK = 256
+#: The first Hangul syllable and how many there are; the first code point of the private planes, none of which folds.
+HANGUL, SYLLABLES, PRIVATE = 0xAC00, 11_172, 0xF0000
+#: Stands between values, none of which has it.
+SEPARATOR = "\n"
 #: Rows of a side that is sent to every task; a larger side is shuffled.
 BROADCAST_ROWS = 500_000
 #: The second hash's seed value, hashed before the text.
@@ -35,17 +37,6 @@ def folded(c: str) -> str:
     return x
 
 
-def blocks(value) -> str:
-    """JSON of value(code point) by blocks of code points; null where a block or code point has none."""
-    out: list = []
-    for first in range(0, sys.maxunicode + 1, BLOCK):
-        row = [None if i < 128 or 0xD800 <= i < 0xE000 else value(chr(i)) for i in range(first, first + BLOCK)]
-        out.append(row if any(x is not None for x in row) else None)
-    while out and out[-1] is None:
-        out.pop()
-    return json.dumps(out)
-
-
 def marks() -> str:
     """A character class of all code points with a combining class."""
     points = [i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))]
@@ -62,9 +53,16 @@ _made: dict[str, str] = {}
 
 
 def tables() -> dict[str, str]:
+    """The marks' character class; strings of the code points that fold (but Hangul syllables) with their values, and of the marks with a letter for each one's combining class.
+
+    A plan names them several times over, and the driver keeps and prints its plans, so they have no gaps.
+    """
     if not _made:
-        _made["fold"] = blocks(lambda c: None if (x := folded(c)) == c else x)
-        _made["order"] = blocks(lambda c: unicodedata.combining(c) or None)
+        points = [chr(i) for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+        fold = {c: x for c in points if not 0 <= ord(c) - HANGUL < SYLLABLES and (x := folded(c)) != c}
+        order = {c: chr(x) for c in points if (x := unicodedata.combining(c))}
+        _made["folding"], _made["place"], _made["values"] = "".join(fold), "".join(map(chr, range(PRIVATE, PRIVATE + len(fold)))), SEPARATOR.join(fold.values())
+        _made["marked"], _made["order"] = "".join(order), "".join(order.values())
         _made["marks"] = marks()
     return _made
 
@@ -74,21 +72,24 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def at(table: Column, c: Column) -> Column:
-    """The table's entry for the character c, null if there is none."""
-    point = F.ascii(c)
-    return F.get(F.get(table, F.floor(point / BLOCK).cast("int")), point % BLOCK)
+def hangul(c: Column) -> Column:
+    """The parts of a Hangul syllable, null for other characters; the standard gives them by rule."""
+    part = lambda first, n, i: F.substring(F.lit("".join(map(chr, range(first, first + n)))), (i + 1).cast("int"), F.lit(1))
+    parts = lambda s: F.concat(part(0x1100, 19, F.floor(s / 588)), part(0x1161, 21, F.floor(s % 588 / 28)), F.when(s % 28 > 0, part(0x11A8, 27, s % 28 - 1)).otherwise(""))
+    return let(F.ascii(c) - HANGUL, lambda s: F.when((s >= 0) & (s < SYLLABLES), parts(s)))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     t = tables()
-    fold, order = F.from_json(F.lit(t["fold"]), "array<array<string>>"), F.from_json(F.lit(t["order"]), "array<array<int>>")
+    values = F.split(F.lit(t["values"]), SEPARATOR)
+    fold = lambda c: F.coalesce(F.get(values, F.ascii(F.translate(c, t["folding"], t["place"])) - PRIVATE), hangul(c))
+    order = lambda c: F.translate(c, t["marked"], t["order"])
     letters = lambda s: F.filter(F.array_distinct(F.split(s, "")), lambda c: c != "")
-    decomposed = F.aggregate(letters(F.regexp_replace(text, r"[\x00-\x7F]+", "")), text, lambda s, c: F.coalesce(F.replace(s, c, at(fold, c)), s))
+    decomposed = F.aggregate(letters(F.regexp_replace(text, r"[\x00-\x7F\x{F0000}-\x{10FFFF}]+", "")), text, lambda s, c: F.coalesce(F.replace(s, c, fold(c)), s))
 
     def sorted_run(run: Column) -> Column:
-        keyed = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c, i: F.struct(at(order, c), i, c.alias("c")))
+        keyed = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c, i: F.struct(order(c), i, c.alias("c")))
         return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
 
     runs = lambda s: F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(f"({t['marks']}{{2,}})"), F.lit(1))), lambda a, b: F.length(b) - F.length(a))
@@ -103,6 +104,12 @@ def wide(canon: Column, bits: int) -> list[Column]:
     return [F.xxhash64(canon).bitwiseAND(mask), F.xxhash64(F.lit(SEED), canon).bitwiseAND(mask)]
 
 
+def digests(docs: DataFrame, bits: int) -> DataFrame:
+    """docs with the digests a, b of their text."""
+    a, b = wide(F.col("canon"), bits)
+    return docs.withColumn("canon", canonical(F.col("text"))).select(*docs.columns, a.alias("a"), b.alias("b"))
+
+
 def hexes(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
@@ -111,8 +118,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, a, b) with next_id, next_text, next_a, next_b of the next row by descending doc_id; the last row's next is the first.
+def neighbours(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """docs (doc_id, text) with their digests a, b, and next_id, next_text, next_a, next_b of the next row by descending doc_id; the last row's next is the first.
 
     Rows are dealt to bins of consecutive ids; a copy of each bin's first row stands at the end of
     the bin before it, so each bin is worked on alone and the texts move once.
@@ -128,16 +135,16 @@ def neighbours(docs: DataFrame) -> DataFrame:
     firsts = docs.groupBy("bin").agg(F.max("doc_id").alias("first_id")).collect()  # a row for each bin
     order = sorted((r["bin"] for r in firsts), reverse=True)
     if not order:
-        return docs.select("*", *[F.col(x).alias(f"next_{y}") for x, y in (("doc_id", "id"), ("text", "text"), ("a", "a"), ("b", "b"))])
+        return digests(docs, bits).select("*", *[F.col(x).alias(f"next_{y}") for x, y in (("doc_id", "id"), ("text", "text"), ("a", "a"), ("b", "b"))])
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the first bin's first row follows the last bin
     heads = spark.createDataFrame([(r["bin"], r["first_id"], before[r["bin"]]) for r in firsts], "bin int, first_id long, before int")
     by = [F.col("doc_id").desc_nulls_last(), "a", "b", F.xxhash64("text"), "text"]
     found = docs.join(F.broadcast(heads), (docs["bin"] == heads["bin"]) & docs["doc_id"].eqNullSafe(heads["first_id"])).drop(heads["bin"])
-    found = found.withColumn("rank", F.row_number().over(W.partitionBy("bin").orderBy(*by))).where("rank = 1")
+    found = digests(found, bits).withColumn("rank", F.row_number().over(W.partitionBy("bin").orderBy(*by))).where("rank = 1")
     found = found.select("doc_id", "text", "a", "b", F.col("before").alias("bin"), F.lit(1).alias("extra"))
     w = W.partitionBy("bin").orderBy("extra", *by)
     lead = [F.lead(x).over(w).alias(f"next_{y}") for x, y in (("doc_id", "id"), ("text", "text"), ("a", "a"), ("b", "b"))]
-    return docs.unionByName(found).select("*", *lead).where("extra = 0").drop("bin", "extra")
+    return digests(docs, bits).unionByName(found).select("*", *lead).where("extra = 0").drop("bin", "extra")
 
 
 def edit(text: Column, other: Column) -> Column:
@@ -155,9 +162,8 @@ def fingerprints(docs: DataFrame, bits: int = 64) -> DataFrame:
     columns are ignored; an empty table gives an empty table.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashed = docs.withColumn("canon", canonical(F.col("text")))
     a, b = wide(F.col("canon"), bits)
-    linked = neighbours(hashed.select("doc_id", "text", a.alias("a"), b.alias("b")))
+    linked = neighbours(docs, bits)
     edited = linked.withColumn("edited", edit(F.col("text"), F.col("next_text"))).withColumn("canon", canonical(F.col("edited")))
     rows = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "b", a.alias("ea"), b.alias("eb"), "next_a", "next_b")
     rows = store.table(rows, "fingerprints")
