@@ -44,6 +44,8 @@ ALPHA = 0.005
 #: Bytes of a word from which it is scored alone.
 LONG = 48
 ZIPF_SHIFT = 50.0
+#: Log by which a byte raises a piece's probability while sums are taken outside the logarithm, and the least sum that such sums are trusted with.
+RAISED, LEAST = 3.0, 1e-200
 
 
 def load_pieces(path: str) -> list[bytes]:
@@ -96,16 +98,32 @@ class Pieces:
             left, flat = at[~hit], flat[taken[~hit]]  # only what another piece keeps from its slot can be further on
         return out.reshape(h.shape)
 
+    def among(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of flat hashes, the places of those that are pieces' (in no order), and their ids."""
+        places, ids, left = [], [], None
+        for k, (bits, table) in enumerate(self.tables):
+            got = table[self.slots(h, bits, k)]
+            taken = np.flatnonzero(got >= 0)
+            got, at = got[taken], taken if left is None else left[taken]
+            hit = self.hashes[got] == h[taken]
+            places.append(at[hit])
+            ids.append(got[hit])
+            left, h = at[~hit], h[taken[~hit]]
+        return np.concatenate(places), np.concatenate(ids)
+
 
 class Lattice:
-    """Log-space forward and backward sums over the segmentations of words, for all words of one length at once.
+    """Forward and backward sums over the segmentations of words, for all words of one length at once.
 
-    logp holds the pieces' log-probabilities, or a row of them for each class.
+    logp holds the pieces' log-probabilities, or a row of them for each class. The sums are of
+    probabilities, each raised by its piece's length so that a word's stays in reach of a double;
+    a word with a sum too small for that, and a long one, is summed in logarithms.
     """
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         logp = np.atleast_2d(logp)
         self.pieces, self.logp, self.longest = Pieces(pieces), np.hstack([logp, np.full((len(logp), 1), -np.inf)]), max(map(len, pieces))
+        self.raised = np.exp(self.logp + RAISED * np.array([*map(len, pieces), 0]))
 
     def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words of one length: their places, their bytes' start in a buffer, and the buffer; long words come alone."""
@@ -143,6 +161,27 @@ class Lattice:
             alpha[:, j] = log_sum(alpha[:, j - ids.shape[1] : j] + logp[ids])
         return alpha
 
+    def hits(self, start: np.ndarray, n: int, buf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each end: of the pieces that end there, the words, the places in a flat table of starts x words, and the ids."""
+        out, size = [], len(start)
+        h, word = np.zeros((n, size), np.uint64), np.tile(np.arange(size), min(n, self.longest))
+        for j in range(1, n + 1):
+            first = max(0, j - self.longest)
+            h[first:j] = self.pieces.rolled(h[first:j], buf[start + j - 1])
+            flat, ids = self.pieces.among(h[first:j].reshape(-1))
+            out.append((word[flat], flat + first * size, ids))
+        return out
+
+    @staticmethod
+    def sums(hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], raised: np.ndarray, words: int) -> np.ndarray:
+        """Ends x words: the summed raised probability of all segmentations of the bytes before."""
+        alpha = np.zeros((len(hits) + 1, words))
+        alpha[0] = 1.0
+        flat = alpha.reshape(-1)
+        for j, (w, at, ids) in enumerate(hits, 1):
+            alpha[j] = np.bincount(w, flat[at] * raised[ids], minlength=words)
+        return alpha
+
     def log_probs_by(self, words: list[bytes]) -> np.ndarray:
         """Words x classes."""
         out = np.zeros((len(words), len(self.logp)))
@@ -152,9 +191,16 @@ class Lattice:
                 for i in at:
                     out[i] = self.log_prob_by(words[i])
                 continue
-            arcs = self.arcs(start, n, buf)
-            for k, logp in enumerate(self.logp):
-                out[at, k] = self.forward(arcs, logp, len(at))[:, -1]
+            hits, weak = self.hits(start, n, buf), np.zeros(len(at), bool)
+            for k, raised in enumerate(self.raised):
+                alpha = self.sums(hits, raised, len(at))
+                weak |= alpha.min(axis=0) < LEAST
+                with np.errstate(divide="ignore"):
+                    out[at, k] = np.log(alpha[-1]) - RAISED * n
+            if weak.any():
+                arcs = self.arcs(start[weak], n, buf)
+                for k, logp in enumerate(self.logp):
+                    out[at[weak], k] = self.forward(arcs, logp, int(weak.sum()))[:, -1]
         return out
 
     def log_probs(self, words: list[bytes]) -> np.ndarray:
@@ -172,24 +218,37 @@ class Lattice:
 
     def expected(self, words: list[bytes], into: np.ndarray, k: int = 0) -> None:
         """Adds each piece's expected number of uses, by class k, in one copy of each word."""
-        logp = self.logp[k]
+        of = np.zeros((len(words), len(self.logp)), bool)
+        of[:, k] = True
+        self.expected_by(words, of, {k: into})
+
+    def expected_by(self, words: list[bytes], of: np.ndarray, into: dict[int, np.ndarray] | np.ndarray) -> None:
+        """The same for each class, into its row, in the words that are of it (words x classes)."""
         for at, start, buf in self.groups(words):
             n = len(words[at[0]])
+            classes = np.flatnonzero(of[at].any(axis=0))
             if n > LONG:
-                for i in at:
-                    self.expected_long(words[i], into, k)
+                for k in classes:
+                    for i in at[of[at, k]]:
+                        self.expected_long(words[i], into[k], k)
                 continue
-            arcs = self.arcs(start, n, buf)
-            alpha = self.forward(arcs, logp, len(at))
-            beta = np.full_like(alpha, -np.inf)
-            beta[:, n] = 0.0
-            for j in range(n, 0, -1):
-                # Few spans are pieces; only these are summed.
-                w, i = np.nonzero(arcs[j] >= 0)
-                ids, i = arcs[j][w, i], i + j - arcs[j].shape[1]
-                through = logp[ids] + beta[w, j]
-                into += np.bincount(ids, np.exp(alpha[w, i] + through - alpha[w, -1]), minlength=len(into))
-                beta[w, i] = np.logaddexp(beta[w, i], through)
+            hits = self.hits(start, n, buf)
+            every = np.concatenate([ids for _, _, ids in reversed(hits)])
+            for k in classes:
+                alpha, raised = self.sums(hits, self.raised[k], len(at)), self.raised[k]
+                weak = alpha.min(axis=0) < LEAST
+                for i in at[weak & of[at, k]]:
+                    self.expected_long(words[i], into[k], k)
+                beta = np.zeros_like(alpha)
+                # A word that is not of the class, or was summed in logarithms, adds nothing.
+                beta[n] = np.where(weak | ~of[at, k], 0.0, 1.0 / np.where(weak, 1.0, alpha[n]))
+                before, after, uses = alpha.reshape(-1), beta.reshape(-1), []
+                for j in range(n, 0, -1):
+                    w, place, ids = hits[j - 1]
+                    through = raised[ids] * beta[j][w]
+                    uses.append(before[place] * through)
+                    after[place] += through
+                into[k] += np.bincount(every, np.concatenate(uses), minlength=len(into[k]))
 
     @staticmethod
     def tally(into: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
@@ -264,8 +323,7 @@ def train(words: DataFrame, pieces: list[bytes], classes: int, iterations: int =
             for b in batches:
                 spelled = [b" " + bytes(w) for w in b["word"]]
                 of = np.array(b["by"].tolist()).reshape(len(b), classes) > 0
-                for k in range(classes):
-                    lattice.expected([spelled[i] for i in np.flatnonzero(of[:, k])], into[k], k)
+                lattice.expected_by(spelled, of, into)
             at = np.nonzero(into)
             yield pd.DataFrame({"class": at[0], "piece": at[1], "x": into[at]})
 
