@@ -1,4 +1,4 @@
-"""JSON documents in files, one for each match, and a store of imported packages with rows for matches and their children."""
+"""JSON documents, one for each match, in files of their own or packed many to a file, and a store of imported packages with rows for matches and their children."""
 
 from __future__ import annotations
 
@@ -13,16 +13,31 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType, _p
 _BAD = "corrupt_"
 
 
+def pack(texts: DataFrame, folder: str) -> None:
+    """Documents (file: its name, text) written many to a file, for a file of its own costs a document more than its bytes do; an existing folder is refused."""
+    texts.select("file", F.coalesce("text", F.lit("")).alias("text")).write.parquet(folder)
+
+
+def packed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """objects() of what pack() wrote; a document of no bytes is not an object."""
+    return parsed(spark.read.schema("file string, text string").parquet(folder), schema)
+
+
 def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A row for each file of path (a folder or a pattern): file, document (a struct of schema), error.
 
     A file that is no JSON object of the schema has a null document, and error says "malformed" or
     "not an object"; fields that lack are null. A file is read whole; one of no bytes has no row, for Spark's readers pass it over.
     """
+    return parsed(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), schema)
+
+
+def parsed(texts: DataFrame, schema: str) -> DataFrame:
+    """objects() of whole documents (file, text)."""
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     read = StructType([*kind.fields, StructField(_BAD, StringType())])
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r\n﻿")).alias("text"))
+    text = texts.select("file", F.btrim("text", F.lit(" \t\r\n\ufeff")).alias("text"))
     x = text.withColumn("d", F.from_json("text", read, {"columnNameOfCorruptRecord": _BAD}))
     error = F.when(F.substring("text", 1, 1) != "{", "not an object").when(F.col(f"d.{_BAD}").isNotNull(), "malformed")
     x = x.withColumn("error", error)
