@@ -10,6 +10,8 @@ and only if the words are there that tell it from its neighbours, such as a vers
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +29,8 @@ OVERLAP = 0.6
 #: A paragraph that is not confirmed is some licence from this probability on.
 LEAST = 0.5
 NONE, OTHER = "none", "unknown"
+#: All that is no part of a word; Java matches a class of single characters about nine times as fast as one of ranges.
+GAP = "[^abcdefghijklmnopqrstuvwxyz0123456789+]"
 # Names of licences by family, paragraphs of their texts and usual notices, other licences, and sentences about licences and other things.
 NAMES = {
     "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache Software License 2.0", "Apache licence, v2.0"),
@@ -141,12 +145,40 @@ BARRED = {"gpl-3.0": ("lesser", "affero", "library"), "gpl-2.0": ("lesser", "aff
 CUES = ("license", "licence", "licensed", "licenced", "spdx", "under", "copyright", "governed", "terms")
 #: With these, words of which one stands in any licence; a paragraph without one is none unless it is confirmed.
 OTHER_CUES = ("rights", "proprietary", "permission", "permitted", "warranty", "warranties", "redistribute", "redistribution", "domain", "unlicense", "reproduced")
+#: Words that ordinary texts hold; where possible, a paragraph is looked at because of others.
+FREQUENT = ("2", "3", "by", "sa")
 #: Words around a text or another licence in training examples.
 FRAMES = ("{}", "Notice: {}", "{} See the file LICENSE for the terms.", "Copyright 2020 The authors. {}", "{} Copyright 2021.", "The text below is free. {}")
 
 
 def words(p: Column) -> Column:
-    return F.array_remove(F.split(F.lower(p), "[^a-z0-9+]+"), "")
+    return F.array_remove(F.split(F.lower(p), f"{GAP}+"), "")
+
+
+def distinct(text: str) -> set[str]:
+    """The distinct words of a text of ASCII."""
+    return {*re.findall("[a-z0-9+]+", text.lower())}
+
+
+def telling() -> set[str]:
+    """Words of which one stands in all that can come out: a cue, or else, as a text must confirm then, a word that the family needs or so many of the text's longest words that OVERLAP leaves none of them out."""
+    cues = {*CUES, *OTHER_CUES}
+    out = set(cues)
+    for family, groups in NEEDED.items():
+        rare = [g for g in groups if not {*g} & {*FREQUENT}]
+        for held in map(distinct, TEXTS[family]):
+            least = next(k for k in range(len(held) + 1) if k / len(held) >= OVERLAP)
+            out |= {*rare[0]} if rare else {*sorted(held - cues, key=lambda w: (-len(w), w))[: max(0, len(held - cues) - least + 1)]}
+    return out
+
+
+def holds(text: Column, wanted: set[str]) -> Column:
+    """Whether one of wanted is among a text's words, which are not cut for that."""
+    starts = {}
+    for w in sorted(wanted):
+        starts.setdefault(w[0], []).append(w[1:])
+    either = "|".join(f"{a}(?:{'|'.join(map(re.escape, ends))})" for a, ends in starts.items())
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" ")).rlike(f"{GAP}(?:{either}){GAP}")
 
 
 def grams(w: Column) -> Column:
@@ -155,10 +187,10 @@ def grams(w: Column) -> Column:
     return F.concat(w, pairs)
 
 
-def paragraphs(docs: DataFrame, key: str) -> DataFrame:
-    """(key, row, paragraph number, line number, words) of all paragraphs that hold anything, whose line number is null, and of the lines of those of several."""
+def paragraphs(docs: DataFrame, key: str, wanted: set[str]) -> DataFrame:
+    """(key, row, paragraph number, line number, words) of all paragraphs that hold a wanted word, whose line number is null, and of the lines of those of several."""
     x = docs.select(key, F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n|\r\s*\r")).alias("paragraph", "block"))
-    x = x.where(F.btrim("block", F.lit(" \t\r\n\f\x0b")) != "")
+    x = x.where(holds(F.col("block"), wanted))
     lines = F.split(F.btrim("block", F.lit(" \t\r\n\f\x0b")), r"[\n\r]+")
     # A line end parts words, so a paragraph's words are those of its lines, which are cut once.
     cut = F.transform(lines, lambda a: F.struct(a.alias("line"), words(a).alias("words")))
@@ -182,6 +214,14 @@ def overlaps(w: Column) -> dict[str, Column]:
     return out
 
 
+def likely(w: Column) -> Column:
+    """Whether w holds a cue, or as large a part of some text as confirms it."""
+    texts = [sorted(distinct(t)) for known in TEXTS.values() for t in known]
+    array = lambda of: F.array(*map(F.lit, of))
+    enough = lambda v: F.greatest(*[F.size(F.array_intersect(array(t), v)) / len(t) for t in texts]) >= OVERLAP
+    return F.arrays_overlap(w, array((*CUES, *OTHER_CUES))) | let(F.array_intersect(array(sorted(set().union(*texts))), w), enough)
+
+
 def told_apart(w: Column, family: Column) -> Column:
     """Whether w has the words that tell the family from its neighbours, and none of theirs."""
     out = F.lit(False)
@@ -224,7 +264,7 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     spark = docs.sparkSession
     labels = [NONE, *NAMES, OTHER]
     made = spark.createDataFrame(examples(spark), "label string, line string, held boolean")
-    lines = paragraphs(docs, key)
+    lines = paragraphs(docs, key, telling())
     # Of the documents, not the paragraphs, a part is read; a notice in it would teach the wrong label.
     n = docs.count()
     few = docs if n <= sample else docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
@@ -243,11 +283,13 @@ def scan(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFram
     data.unpersist()
 
     named = [key, "row", "paragraph", "line_number"]
-    # Nothing else can come out: a row is confirmed, for which it needs one of its family's words, or has a cue.
-    telling = sorted({*CUES, *OTHER_CUES, *(w for groups in NEEDED.values() for w in groups[0])})
-    x = lines.where(F.arrays_overlap("words", F.array(*map(F.lit, telling))))
+    # Nothing else can come out: a row has a cue, or a text confirms it.
+    x = lines.where(likely(F.col("words")))
     x = x.select(*named, "words", let(F.col("words"), grams).alias("grams"))
-    x = model.transform(hashed.transform(x)).where("guess > 0").select(*named, "words", F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
+    x = model.transform(hashed.transform(x))
+    # In a generator the classes are not computed again by each filter that reads them.
+    kinds = F.struct(F.col("guess").cast("int").alias("guess"), F.array_max(vector_to_array("p")).alias("probability"))
+    x = x.select(*named, "words", F.inline(F.filter(F.array(kinds), lambda k: k["guess"] > 0)))
     x = x.withColumn("family", F.element_at(F.array(*map(F.lit, labels)), F.col("guess") + 1))
 
     def match(w: Column) -> Column:
