@@ -12,6 +12,7 @@ from typing import Any, Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
@@ -52,6 +53,16 @@ def runs(b: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame
         yield tuple(None if pd.isna(x) else x for x in part[keys].iloc[0].tolist()), part
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with each group in one partition.
+
+    By a hash of the keys, not by the keys: Spark leaves out a repartition by what a join before it was
+    partitioned by, and then may turn that join into a broadcast, which scatters the groups, for
+    mapInPandas asks for no partitioning.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def stepped(df: DataFrame, keys: list[str], order: list[str], start: Callable[[tuple], Steps], schema: str) -> DataFrame:
     """Each group's rows, sorted by order, fed to a state of its own; the result has keys and the columns of schema, which Steps gives."""
     columns = names(schema)
@@ -73,7 +84,7 @@ def stepped(df: DataFrame, keys: list[str], order: list[str], start: Callable[[t
             yield frame([at + r for r in state.end()], [*keys, *columns])
 
     typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
+    return dealt(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
 
 
 class RowSteps(Protocol):
@@ -120,7 +131,7 @@ def listed(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
 
     typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
     needed = list(dict.fromkeys([*keys, *order, *columns]))
-    return df.select(needed).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
+    return dealt(df.select(needed), keys).sortWithinPartitions(*keys, *order).mapInPandas(work, f"{typed}, {schema}")
 
 
 class _Held:
