@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tactigrid.sources.tables import shared_dir, written
+
 from .components import components
-from .grouped import listed, together
+from .grouped import listed
 from .sequence import ordered
 
 
@@ -82,36 +86,95 @@ def chained(tracklets: DataFrame, sequence: list[str], gap: float = 3.0, speed:
     return found.join(born, [*sequence, "piece"]).select(*sequence, "id", (F.col("player") + F.col("first")).alias("player"), "score")
 
 
-def accept(links: list[tuple], spans: dict) -> list[tuple]:
-    """(key, reason) of links (key, source, target) in order: accepted ones have no reason. spans: start, stop of each tracklet.
+class _Accepting:
+    """Takes links (key, source, target, start and stop of both) in order and says why each is refused; accepted ones have no reason.
 
     A link is refused if its source has a successor or its target a predecessor already, if both are of
-    one chain, or if members of the two chains overlap in time.
+    one chain, or if members of the two chains overlap in time. Holds the chains, not the links: a
+    chain's spans are apart, so they are kept sorted; those that end before they begin are kept beside.
     """
-    chain = {t: {t} for t in spans}
-    after, before, out = {}, {}, []
-    for key, a, b in links:
-        reason = "self_link" if a == b else "source_successor_already_assigned" if a in after else "target_predecessor_already_assigned" if b in before else None
-        if reason is None and chain[a] is chain[b]:
-            reason = "cycle_or_duplicate_link"
-        if reason is None and any(spans[x][0] <= spans[y][1] and spans[y][0] <= spans[x][1] for x in chain[a] for y in chain[b]):
-            reason = "component_temporal_conflict"
-        if reason is None:
-            after[a], before[b] = b, a
-            both = chain[a] | chain[b]
-            for t in both:
-                chain[t] = both
-        out.append((key, reason))
-    return out
+
+    def __init__(self) -> None:
+        self.after: set = set()
+        self.before: set = set()
+        self.up: dict = {}
+        self.chain: dict = {}  # of a chain's name: its starts, its stops, its odd spans
+
+    def name(self, t: object, start: float, stop: float) -> object:
+        if t not in self.up:
+            self.up[t] = t
+            self.chain[t] = ([start], [stop], []) if start <= stop else ([], [], [(start, stop)])
+        while self.up[t] != t:
+            self.up[t] = t = self.up[self.up[t]]
+        return t
+
+    def overlap(self, few: tuple, many: tuple) -> bool:
+        starts, stops, odd = many
+        if odd or few[2]:
+            spans = lambda c: [*zip(c[0], c[1], strict=True), *c[2]]
+            return any(a <= d and c <= b for a, b in spans(few) for c, d in spans(many))
+        at = ((bisect.bisect_left(stops, a), b) for a, b in zip(few[0], few[1], strict=True))
+        return any(i < len(starts) and starts[i] <= b for i, b in at)
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for key, a, b, *spans in rows:
+            reason = "self_link" if a == b else "source_successor_already_assigned" if a in self.after else "target_predecessor_already_assigned" if b in self.before else None
+            if reason is None:
+                x, y = self.name(a, *spans[:2]), self.name(b, *spans[2:])
+                small, large = sorted((x, y), key=lambda n: len(self.chain[n][0]))
+                if x == y:
+                    reason = "cycle_or_duplicate_link"
+                elif self.overlap(self.chain[small], self.chain[large]):
+                    reason = "component_temporal_conflict"
+                else:
+                    self.after.add(a)
+                    self.before.add(b)
+                    self.up[small] = large
+                    starts, stops, odd = self.chain.pop(small)
+                    for start, stop in zip(starts, stops, strict=True):
+                        i = bisect.bisect_left(self.chain[large][0], start)
+                        self.chain[large][0].insert(i, start)
+                        self.chain[large][1].insert(i, stop)
+                    self.chain[large][2].extend(odd)
+            out.append((key, reason))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+LINK = ["source", "target", "cost", "key"]
+
+
+def _mutual(links: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links that are accepted because no link is before them at either end, round after round, and the links that are still open when a round settles less than a tenth."""
+    live, taken, n = links, links.select(LINK).limit(0), 0
+    open_ = live.count()
+    while open_:
+        first = lambda c: live.groupBy(c).agg(F.min(F.struct("cost", "key")).alias("r")).select(c, F.col("r.key").alias("key"))  # noqa: B023, E731
+        best = first("source").join(first("target"), "key").select("source", "target", "key")
+        best = written(best.join(live.select("key", "cost"), "key").select(LINK), f"{folder}/taken-{n}")
+        taken = taken.unionByName(best)
+        live = live.join(best.select("source"), "source", "left_anti").join(best.select("target"), "target", "left_anti")
+        live, before, n = written(live, f"{folder}/open-{n}"), open_, n + 1
+        open_ = live.count()
+        if (before - open_) * 10 < before:
+            break
+    return taken, live
 
 
 def accepted(links: DataFrame, tracklets: DataFrame, gap: float = 3.0, most: int = 20_000) -> DataFrame:
     """links (key, source, target, cost) with reason: null for accepted ones, which leave chains of tracklets (id, start, stop, team) that never overlap.
 
     Refused at once: an end that is no tracklet, targets that begin before their source has ended, gaps
-    above gap, different known teams. The rest are taken in order of cost and key, within each connected
-    component in a task of its own; components of more than `most` links are refused as too_large. Ids
-    of tracklets and keys of links are unique.
+    above gap, different known teams. The rest are taken in order of cost and key within each connected
+    component, which is fed to a task that holds its chains. Ids of tracklets and keys of links are unique.
+
+    In components of more than `most` links rounds over the whole table come first. A target begins after
+    its source has ended, so where no tracklet ends before it begins, a chain's end and another's start
+    that may be linked never make an overlap or a cycle: a link that is the first at both ends is accepted,
+    and the others there are refused. What rounds leave open is fed to tasks like the rest.
     """
     kinds = dict(links.dtypes)
     t = lambda side: tracklets.select(F.col("id").alias(side), F.col("start").alias(f"{side}_start"), F.col("stop").alias(f"{side}_stop"), F.coalesce("team", F.lit("U")).alias(f"{side}_team"))
@@ -123,12 +186,22 @@ def accepted(links: DataFrame, tracklets: DataFrame, gap: float = 3.0, most: int
     able = x.where("early is null")
     of = components(able.select(F.col("source").alias("a"), F.col("target").alias("b"))).withColumnRenamed("node", "source")
     able = able.join(of, "source")
-    able = able.join(able.groupBy("component").agg(F.count(F.lit(1)).alias("links_")), "component")
-
-    def work(rows: list[tuple]) -> list[tuple]:
-        spans = {**{r[1]: (r[3], r[4]) for r in rows}, **{r[2]: (r[5], r[6]) for r in rows}}
-        return accept([r[:3] for r in rows], spans)
-
-    found = together(able.where(F.col("links_") <= most), ["component"], ["cost", "key"], ["key", "source", "target", "source_start", "source_stop", "target_start", "target_stop"], work, f"key {kinds['key']}, reason string").drop("component")
-    large = able.where(F.col("links_") > most).select("key", F.lit("too_large").alias("reason"))
-    return links.join(found.unionByName(large).unionByName(x.where("early is not null").select("key", F.col("early").alias("reason"))), "key")
+    ends = [f"{side}_{end}" for side in ("source", "target") for end in ("start", "stop")]
+    a, b, c, d = (F.col(e).cast("double") for e in ends)
+    odd = ~F.coalesce((a <= b) & (c <= d) & ~F.isnan(b) & ~F.isnan(d), F.lit(False))
+    folder = f"{shared_dir(links.sparkSession)}/accepted-{uuid.uuid4().hex}"
+    able = written(able.join(able.groupBy("component").agg(F.count(F.lit(1)).alias("links_"), F.max(odd).alias("odd_")), "component"), f"{folder}/able")
+    fed = lambda df: listed(df, ["component"], ["cost", "key"], ["key", "source", "target", *ends], lambda key: _Accepting(), f"key {kinds['key']}, reason string").drop("component")
+    large = able.where((F.col("links_") > most) & ~F.col("odd_"))
+    if large.isEmpty():
+        found = fed(able)
+    else:
+        taken, rest = _mutual(large, folder)
+        last = fed(rest).where("reason is null").select("key")
+        taken = taken.unionByName(rest.join(last, "key").select(LINK))
+        taken = written(taken, f"{folder}/taken")
+        own = F.struct("cost", "key")
+        y = large.join(taken.select("source", own.alias("s_")), "source", "left").join(taken.select("target", own.alias("t_")), "target", "left")
+        reason = F.when(F.col("s_") < own, "source_successor_already_assigned").when(F.col("t_") < own, "target_predecessor_already_assigned")
+        found = fed(able.where((F.col("links_") <= most) | F.col("odd_"))).unionByName(y.select("key", reason.alias("reason")))
+    return links.join(found.unionByName(x.where("early is not null").select("key", F.col("early").alias("reason"))), "key")

@@ -82,3 +82,36 @@ def plain_last_given_up(rows):
         if most(fewer := [q for q in left if q != p]) == n:
             left = fewer
     return left
+
+
+def accepted_by_turn(links, spans):
+    """Reasons of links (key, source, target, cost) by cost and key, from sets of chains."""
+    chain, after, before, out = {t: {t} for t in spans}, set(), set(), {}
+    for key, a, b, _ in sorted(links, key=lambda x: (x[3], x[0])):
+        out[key] = "source_successor_already_assigned" if a in after else "target_predecessor_already_assigned" if b in before else "cycle_or_duplicate_link" if chain[a] is chain[b] else None
+        if out[key] is None and any(spans[x][0] <= spans[y][1] and spans[y][0] <= spans[x][1] for x in chain[a] for y in chain[b]):
+            out[key] = "component_temporal_conflict"
+        if out[key] is None:
+            after.add(a)
+            before.add(b)
+            both = chain[a] | chain[b]
+            chain.update(dict.fromkeys(both, both))
+    return out
+
+
+def test_a_component_beyond_20000_links_is_accepted_by_turn(spark):
+    from tactigrid.operators import linking
+
+    r = random.Random(3)
+    spans = {i: (i * 1.0, i + r.choice([0.0, 0.5, 3.0])) for i in range(1500)}
+    for odd in (False, True):
+        if odd:  # tracklets that end before they begin can make overlaps and cycles
+            spans |= {i: (i + 2.0, i - 40.0) for i in range(0, 1500, 25)}
+        links = [(f"{a}>{b}", a, b, round(r.random(), 2)) for a in spans for b in range(max(0, a - 30), a + 31) if a != b and b in spans and 0 < spans[b][0] - spans[a][1] <= 25]
+        t = spark.createDataFrame([(i, *s, "U") for i, s in spans.items()], "id int, start double, stop double, team string")
+        df = spark.createDataFrame(links, "key string, source int, target int, cost double").repartition(4)
+        want = accepted_by_turn(links, spans)
+        for most in (20_000, 100):
+            got = {x["key"]: x["reason"] for x in linking.accepted(df, t, gap=25.0, most=most).collect()}
+            assert len(links) > 20_000 and {k: (got.get(k, "?"), v) for k, v in want.items() if got.get(k, "?") != v} == {}
+        assert ("component_temporal_conflict" in want.values()) == odd
