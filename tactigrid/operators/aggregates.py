@@ -46,8 +46,8 @@ def capped_top(df: DataFrame, group: list[str], order: list, total: int, each: i
     return x.orderBy("filler", *order).limit(total).drop("filler", "rank")
 
 
-#: Queries that a task of nearest() holds, about, and cosines that it computes together.
-QUERIES, CELLS = 8192, 1 << 21
+#: Queries that a task of nearest() holds, vectors that it takes, both about, and cosines that it computes together.
+QUERIES, VECTORS, CELLS = 8192, 32_768, 1 << 21
 
 
 class _Best:
@@ -78,19 +78,22 @@ def nearest(queries: DataFrame, vectors: DataFrame, group: str, k: int, rows: in
     """For each query (query_id, group, q) the k nearest of its group (id, group, v) by cosine distance (6 decimals), ties by id.
 
     A task holds some queries of a group, about `rows`, and takes a part of the group's vectors batch by
-    batch; of each part the k nearest are left to compare. A vector of nulls, or of another length, is as
-    far as can be.
+    batch; of each part the k nearest are left to compare. Blocks and parts follow the group's own size,
+    so a row is sent once for each block or part of its group. A vector of nulls, or of another length, is
+    as far as can be.
     """
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = queries.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-most // rows))
+    tasks = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = dict(queries.dtypes)
+    kind = kinds["q"] if kinds["q"] == dict(vectors.dtypes)["v"] else "array<double>"
     size = lambda c: F.when(F.col(c).isNull() | F.exists(c, lambda x: x.isNull()), -1).otherwise(F.size(c))
-    side = lambda df, i, c, n: df.where(F.col(i).isNotNull() & F.col(group).isNotNull()).select(group, F.lit(n).alias("side_"), F.col(i).cast("long").alias("id"), F.col(c).cast("array<double>").alias("v"), size(c).alias("size_"))
-    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = side(queries, "query_id", "q", 0).withColumn("block_", of(blocks)).withColumn("part_", every(parts))
-    rest = side(vectors, "id", "v", 1).withColumn("part_", of(parts)).withColumn("block_", every(blocks))
+    side = lambda df, i, c, n: df.where(F.col(i).isNotNull() & F.col(group).isNotNull()).select(group, F.lit(n).alias("side_"), F.col(i).cast("long").alias("id"), F.col(c).cast(kind).alias("v"), size(c).alias("size_"))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    number = lambda df, name, each: df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / each).alias(name))
+    asked, given = side(queries, "query_id", "q", 0), side(vectors, "id", "v", 1)
+    sizes = number(asked, "blocks_", rows).join(number(given, "parts_", VECTORS), group)
+    held = asked.join(sizes, group).withColumn("block_", of("blocks_")).withColumn("part_", every("parts_"))
+    rest = given.join(sizes, group).withColumn("part_", of("parts_")).withColumn("block_", every("blocks_"))
 
     def sized(b: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(size, places, ids, vectors) of the rows of each size."""
@@ -128,7 +131,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, group: str, k: int, rows: in
                 elif first:
                     yield meet(pd.concat(first, ignore_index=True), (p[4] for p in piece))
 
-    dealt = held.unionByName(rest).repartition(4 * parts, *keys).sortWithinPartitions(*keys, "side_")
+    dealt = held.unionByName(rest).drop("blocks_", "parts_").repartition(tasks, *keys).sortWithinPartitions(*keys, "side_")
     found = dealt.mapInPandas(work, "query_id long, id long, distance double")
     x = top_per_group(found, ["query_id"], ["distance", "id"], k)
     return x.select(F.col("query_id").cast(kinds["query_id"]), F.col("id").cast(dict(vectors.dtypes)["id"]), "rank", F.round("distance", 6).alias("distance"))

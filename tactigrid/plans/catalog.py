@@ -166,10 +166,10 @@ def k3(spark, d):
     return table(spark, d, "part").where("p_size > 20").select("p_partkey", "p_brand").orderBy("p_partkey").offset(50).limit(25)
 
 
-@query("k9_similar", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - least(1.0, greatest(-1.0, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))), 6) AS distance FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id != v.vec_id) SELECT query_id, id, rank, distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM x) WHERE rank <= 5")
+@query("k9_similar", "WITH q AS (SELECT * FROM embeddings), x AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - least(1.0, greatest(-1.0, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))), 6) AS distance FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id != v.vec_id) SELECT query_id, id, rank, distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM x) WHERE rank <= 5")
 def k9(spark, d):
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    queries = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     return A.nearest(queries, e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), "label", 5)
 
 
